@@ -295,8 +295,8 @@ def _(t):
 
 @query("split_by_punctuation", TEXTS + f""", s AS (SELECT kind, id, {S.strip("coalesce(text, '')")} AS s FROM texts),
   m AS (SELECT kind, id, s, length(s) AS n, length(s) // 2 AS mid,
-    list_min(list_filter(list_transform(string_split(s, ''), (ch, i) -> CASE WHEN ch IN ('。','！','？','…','；','，')
-      THEN abs(i - 1 - length(s) // 2) * 10000000 + i - 1 END), v -> v IS NOT NULL)) % 10000000 AS cutpos FROM s),
+    list_min(list_filter(list_transform(string_split(s, ''), lambda ch, i: CASE WHEN ch IN ('。','！','？','…','；','，')
+      THEN abs(i - 1 - length(s) // 2) * 10000000 + i - 1 END), lambda v: v IS NOT NULL)) % 10000000 AS cutpos FROM s),
   c AS (SELECT *, {S.strip('substr(s, 1, cutpos + 1)')} AS l, {S.strip('substr(s, cutpos + 2)')} AS r FROM m)
 SELECT kind, id, CASE WHEN n <= 4 THEN substr(s, 1, mid) WHEN length(l) >= 2 AND length(r) >= 2 THEN l
     ELSE {S.strip('substr(s, 1, mid)')} END AS top,

@@ -25,6 +25,7 @@ def local_session(cpus: int | str = 8, app: str = "pageloom", **extra: str) -> S
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.driver.memory": os.environ.get("PAGELOOM_DRIVER_MEMORY", "12g"),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **extra,
     }
     for key, value in conf.items():
