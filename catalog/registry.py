@@ -73,8 +73,12 @@ def with_views(sql: str, *views: str) -> str:
     head = ",\n".join(VIEWS[n] for n in names)
     body = sql.strip()
     if body.startswith(","):
-        return f"WITH {head}\n{body}" if head else f"WITH {body[1:]}"
-    return f"WITH {head}\n{body}" if head else body
+        body = f"{head}\n{body}" if head else body[1:]
+    elif head:
+        body = f"{head}\n{body}"
+    else:
+        return body
+    return f"WITH RECURSIVE {body}"
 
 
 def query(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):

@@ -289,7 +289,7 @@ def _(t):
 
 @query("queue_wait", """SELECT event_id, greatest(0.0, (epoch_us(ts) - epoch_us(ts) // 1000000 * 1000000 - 300000)/1000) AS queue_wait_ms FROM events""")
 def _(t):
-    created = F.timestamp_micros(F.floor(F.unix_micros("ts") / 1000000) * 1000000 + 300000)
+    created = F.date_trunc("second", "ts") + F.expr("INTERVAL '0.3' SECOND")
     return R.queue_wait(t.events.withColumns({"created_at": created, "started_at": F.col("ts")})).select("event_id", "queue_wait_ms")
 
 

@@ -11,7 +11,7 @@ from pageloom.operators import merging as M
 from pageloom.operators import ordering as O
 from pageloom.operators import windows as W
 from pageloom.params import TileRule
-from pageloom.plans.views import add_hierarchy
+from pageloom.plans.views import add_hierarchy, epoch_micros
 
 KEY = "regexp_replace(lower(source_text), '(" + S.WS + "|[-._:·•])+', '', 'g')"
 WORDS = " OR ".join(f"contains(lower(source_text), '{k}') OR contains({KEY}, '{k}')" for k in WATERMARK_KEYWORDS)
@@ -111,11 +111,11 @@ def _(t):
     return W.recent_history(t.progress, 50, ["chapter_id", "task_id"], "ts", "event_id").select("chapter_id", "task_id")
 
 
-@query("pace_audit", """, r AS (SELECT event_id, chapter_id, epoch_us(ts)/1e6 AS at, row_number() OVER (PARTITION BY chapter_id ORDER BY ts, event_id) - 1 AS i FROM progress),
- m AS (SELECT *, max(at - i*600.0::DOUBLE) OVER (PARTITION BY chapter_id ORDER BY at, event_id) + i*600.0::DOUBLE AS allowed_at FROM r)
- SELECT event_id, round(allowed_at, 3) AS allowed_at, round(greatest(0.0, allowed_at - at), 3) AS too_early FROM m""", ("progress",))
+@query("pace_audit", """, r AS (SELECT event_id, chapter_id, epoch_us(ts)/1e6 AS t0, row_number() OVER (PARTITION BY chapter_id ORDER BY ts, event_id) - 1 AS i FROM progress),
+ m AS (SELECT *, max(t0 - i*600.0::DOUBLE) OVER (PARTITION BY chapter_id ORDER BY t0, event_id) + i*600.0::DOUBLE AS allowed_at FROM r)
+ SELECT event_id, round(allowed_at, 3) AS allowed_at, round(greatest(0.0, allowed_at - t0), 3) AS too_early FROM m""", ("progress",))
 def _(t):
-    r = t.progress.select("event_id", "chapter_id", (F.unix_micros("ts") / F.lit(1e6)).alias("at"))
+    r = t.progress.select("event_id", "chapter_id", (epoch_micros("ts") / F.lit(1e6)).alias("at"))
     out = W.pace_audit(r, 1 / 600, ["chapter_id"], "at", "event_id", t.profile("progress", r, ["chapter_id"]))
     return out.select("event_id", F.round("allowed_at", 3).alias("allowed_at"), F.round("too_early", 3).alias("too_early"))
 

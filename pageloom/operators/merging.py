@@ -17,9 +17,9 @@ def merged_id(ids: Column) -> Column:
     return F.xxhash64(F.array_sort(ids))
 
 
-def merge_group(regions: DataFrame, keys: list[str]) -> DataFrame:
+def merge_group(regions: DataFrame, keys: list[str], ties: tuple[str, ...] = ("y1", "pos")) -> DataFrame:
     """One row per group: texts from left to right, union box, mean confidence."""
-    texts = F.array_sort(F.collect_list(F.struct("x1", "y1", "pos", "source_text")))
+    texts = F.array_sort(F.collect_list(F.struct("x1", *ties, "source_text")))
     return regions.groupBy(*keys).agg(
         texts.alias("_texts"), F.min("x1").alias("x1"), F.min("y1").alias("y1"),
         F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.avg("confidence").alias("confidence"),

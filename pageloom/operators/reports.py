@@ -422,7 +422,7 @@ def log_counters(logs: DataFrame, keys: list[str], patterns: dict[str, str] | No
 
 def queue_wait(tasks: DataFrame) -> DataFrame:
     """queue_wait_ms = start - created, never negative."""
-    micros = F.unix_micros("started_at") - F.unix_micros("created_at")
+    micros = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("started_at"))
     return tasks.withColumn("queue_wait_ms", F.greatest(F.lit(0.0), F.coalesce(micros / 1000, F.lit(0.0))))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.constants import ERASE_ONLY, FAILURE_MARKER
@@ -145,6 +145,12 @@ class Tables:
         )
 
 
+def epoch_micros(ts: str) -> Column:
+    """Microseconds since 1970 of a time without zone."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", zero, F.col(ts))
+
+
 def add_hierarchy(df: DataFrame) -> DataFrame:
     """chapter_id, series_id and page_no from page_id."""
     chapter = F.floor(F.col("page_id") / PAGES_PER_CHAPTER)
