@@ -165,7 +165,7 @@ def _(t):
     AND greatest(0, least(x2, lx2) - greatest(x1, lx1))/greatest(least(x2-x1, lx2-lx1), 1) > 0.15 THEN 0 ELSE 1 END AS brk FROM l),
  g AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY page_id ORDER BY y1, x1, pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paragraph FROM f)
  SELECT page_id, paragraph, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg(confidence), 6) AS confidence, count(*) AS members, min(region_id) AS first_id,
-   string_agg(source_text, ' ' ORDER BY x1, y1, pos) FILTER (source_text <> '') AS source_text FROM g GROUP BY 1, 2""", ("regions",))
+   coalesce(string_agg(source_text, ' ' ORDER BY x1, y1, pos) FILTER (source_text <> ''), '') AS source_text FROM g GROUP BY 1, 2""", ("regions",))
 def _(t):
     out = M.merge_paragraphs(t.regions, profile=t.page_profile)
     return out.withColumn("confidence", F.round("confidence", 6))

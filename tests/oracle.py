@@ -67,8 +67,9 @@ def compare(con, spark, name: str, folder: str, queries, oracle) -> str:
             notes.append(f"type of {c}: {kind} / {types[c]}")
     a, b = rows_of(df.columns, got), rows_of(names, want)
     if a != b:
-        left, right = [x for x in a if x not in set(b)], [x for x in b if x not in set(a)]
-        return f"rows {len(a)} / {len(b)}; only spark {left[:3]}; only sql {right[:3]}"
+        in_a, in_b = set(a), set(b)
+        left, right = [x for x in a if x not in in_b], [x for x in b if x not in in_a]
+        return f"rows {len(a)} / {len(b)}; only spark {len(left)} {left[:3]}; only sql {len(right)} {right[:3]}"
     if not a:
         notes.append("empty result")
     return ("note: " + "; ".join(notes)) if notes else ""
