@@ -53,6 +53,11 @@ def strip_trailing_punct(text: ColumnLike) -> Column:
     return strip(F.regexp_replace(col(text), f"[{TRAIL_PUNCT}]+(\\n?)\\z", "$1"))
 
 
+def with_base(text: ColumnLike) -> Column:
+    """Struct (raw, base): stripped, and also without closing punctuation."""
+    return let(strip(text), lambda raw: F.struct(raw.alias("raw"), strip_trailing_punct(raw).alias("base")))
+
+
 def trailing_punct(text: ColumnLike) -> Column:
     """The closing punctuation itself ('' when there is none)."""
     return F.regexp_extract(col(text), f"([{TRAIL_PUNCT}]+)\\n?\\z", 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.constants import (
     CJK, ERASE_ONLY, FAILURE_MARKER, HANGUL, KO_FIXES, PROMPT_HINTS, SFX_PREFIX, WS,
 )
-from pageloom.functions.base import ColumnLike, any_of, col, first_match, strip
+from pageloom.functions.base import ColumnLike, any_of, col, first_match, let, strip
 from pageloom.functions.script import english_ratio, has_cjk, has_hangul
 
 # start of a word: no letter, digit or underscore before it
@@ -36,8 +36,7 @@ def watermark_compact(text: ColumnLike) -> Column:
 
 
 def watermark_key(text: ColumnLike) -> Column:
-    compact = watermark_compact(text)
-    return F.when(compact != "", compact).otherwise(watermark_lower(text))
+    return let(watermark_compact(text), lambda c: F.when(c != "", c).otherwise(watermark_lower(text)))
 
 
 def clean_annotations(text: ColumnLike) -> Column:
@@ -56,7 +55,9 @@ def clean_annotations(text: ColumnLike) -> Column:
     out = col(text)
     for pattern in steps:
         out = F.regexp_replace(out, pattern, "")
-    return strip(out)
+    # most replies hold none of the words the steps look for
+    suspect = col(text).rlike("(?i)TEXT|CTX|翻译|Note|注|This|context|direct")
+    return strip(F.when(suspect, out).otherwise(col(text)))
 
 
 def clean_input(text: ColumnLike, limit: int = 500) -> Column:
@@ -67,29 +68,35 @@ def clean_input(text: ColumnLike, limit: int = 500) -> Column:
 
 def is_prompt_artifact(text: ColumnLike) -> Column:
     """A reply that leaks prompt wording."""
-    out = strip(F.coalesce(col(text), F.lit("")))
-    lower = F.lower(out)
-    hits = sum((lower.contains(h).cast("int") for h in PROMPT_HINTS), F.lit(0))
-    english = english_ratio(out)
-    talk = lower.contains("assistant") | lower.contains("translate") | lower.contains("output only")
-    forbid = out.contains("不要") & (lower.contains("output") | lower.contains("translate"))
-    long_text = (F.length(out) >= 24) & ~out.startswith(FAILURE_MARKER)
-    return long_text & (hits > 0) & any_of([
-        talk & (english >= 0.15), forbid, (hits >= 2) & (english >= 0.2),
-    ])
+    def rules(out: Column) -> Column:
+        lower = F.lower(out)
+        hits = sum((lower.contains(h).cast("int") for h in PROMPT_HINTS), F.lit(0))
+        english = english_ratio(out)
+        talk = lower.contains("assistant") | lower.contains("translate") | lower.contains("output only")
+        forbid = out.contains("不要") & (lower.contains("output") | lower.contains("translate"))
+        long_text = (F.length(out) >= 24) & ~out.startswith(FAILURE_MARKER)
+        return long_text & (hits > 0) & any_of([
+            talk & (english >= 0.15), forbid, (hits >= 2) & (english >= 0.2),
+        ])
+
+    t = F.coalesce(col(text), F.lit(""))
+    # short texts are settled without any pattern
+    return F.when(F.length(t) >= 24, let(strip(t), rules)).otherwise(F.lit(False))
 
 
 def skip_retranslate(source: ColumnLike, output: ColumnLike) -> Column:
     """Short or technical sources that are not worth a second request."""
-    src = strip(F.coalesce(col(source), F.lit("")))
-    out = strip(F.coalesce(col(output), F.lit("")))
-    return (src != "") & ~out.startswith(FAILURE_MARKER) & any_of([
-        src.rlike(r"(?i)(https?://|www\.|discord\.gg/)"),
-        src.rlike(r"(?i)^[\x{2160}-\x{2188}IVXLCDM]+\z"),
-        src.rlike(r"^[A-Za-z][A-Za-z0-9._-]{0,5}\z"),
-        src.rlike(r"^[A-Za-z0-9]{1,4}\z"),
-        ~src.contains(" ") & (F.length(src) <= 12) & (out == src),
-    ])
+    def rules(src: Column) -> Column:
+        out = strip(F.coalesce(col(output), F.lit("")))
+        return (src != "") & ~out.startswith(FAILURE_MARKER) & any_of([
+            src.rlike(r"(?i)(https?://|www\.|discord\.gg/)"),
+            src.rlike(r"(?i)^[\x{2160}-\x{2188}IVXLCDM]+\z"),
+            src.rlike(r"^[A-Za-z][A-Za-z0-9._-]{0,5}\z"),
+            src.rlike(r"^[A-Za-z0-9]{1,4}\z"),
+            ~src.contains(" ") & (F.length(src) <= 12) & (out == src),
+        ])
+
+    return let(strip(F.coalesce(col(source), F.lit(""))), rules)
 
 
 def needs_fallback(target: ColumnLike) -> Column:
@@ -121,14 +128,17 @@ def should_erase(target: ColumnLike, inpaint_mode: ColumnLike) -> Column:
 
 def validate_output(source: ColumnLike, output: ColumnLike, target_lang: str = "zh") -> Column:
     """The cleaned reply, or the failure marker when it is not usable."""
-    cleaned = clean_annotations(F.coalesce(col(output), F.lit("")))
     src = F.coalesce(col(source), F.lit(""))
     hangul = f"[{HANGUL}]"
-    bad = [cleaned == ""]
-    if target_lang.lower().startswith("zh"):
-        bad += [
-            cleaned.rlike(hangul),
-            src.rlike(hangul) & ~cleaned.rlike(f"[{CJK}]"),
-        ]
-    bad.append(cleaned.rlike(hangul) & (cleaned == strip(src)))
-    return F.when(any_of(bad), F.lit(FAILURE_MARKER)).otherwise(cleaned)
+
+    def check(cleaned: Column) -> Column:
+        bad = [cleaned == ""]
+        if target_lang.lower().startswith("zh"):
+            bad += [
+                cleaned.rlike(hangul),
+                src.rlike(hangul) & ~cleaned.rlike(f"[{CJK}]"),
+            ]
+        bad.append(cleaned.rlike(hangul) & (cleaned == strip(src)))
+        return F.when(any_of(bad), F.lit(FAILURE_MARKER)).otherwise(cleaned)
+
+    return let(clean_annotations(F.coalesce(col(output), F.lit(""))), check)

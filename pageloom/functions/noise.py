@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pageloom import constants as K
 from pageloom.functions.base import (
-    ColumnLike, any_of, col, first_match, is_ascii, nonspace, strip, strip_trailing_punct,
+    ColumnLike, any_of, col, first_match, is_ascii, let, nonspace, strip, strip_trailing_punct,
+    with_base,
 )
 from pageloom.functions.sfx import is_sfx
 
@@ -32,7 +33,12 @@ def noise_reason(
     """
     t, w, h, top = col(text), col(width), col(height), col(y1)
     tall = F.lit(image_height) if isinstance(image_height, int) else col(image_height)
-    base = strip_trailing_punct(t)
+    return let(
+        strip_trailing_punct(t), lambda base: _reason(base, t, w, h, top, col(confidence), tall, relaxed)
+    )
+
+
+def _reason(base, t, w, h, top, confidence, tall, relaxed: bool) -> Column:
     aspect = w / F.greatest(h, F.lit(1))
     price = base.rlike(r"^[0-9,.]+\z") & any_of([
         F.length(base) >= 4,
@@ -52,7 +58,7 @@ def noise_reason(
         rules += [
             ((w < 15) | (h < 10), "size"),
             ((aspect > 20) | (aspect < 0.05), "aspect"),
-            ((F.length(t) <= 3) & (col(confidence) < 0.85) & is_ascii(t), "short_ascii"),
+            ((F.length(t) <= 3) & (confidence < 0.85) & is_ascii(t), "short_ascii"),
             (price, "price"),
         ]
     rules += always
@@ -85,39 +91,42 @@ def is_noise(*args, **kwargs) -> Column:
 
 def ocr_noise_reason(text: ColumnLike) -> Column:
     """The variant used before scoring; sound effects are exempt."""
-    raw = strip(F.coalesce(col(text), F.lit("")))
-    base = strip_trailing_punct(raw)
-    ruled = first_match([
-        (base.rlike(SYMBOLS), K.REASON_SYMBOL),
-        (base.rlike(r"^[A-Z]{2}\z"), K.REASON_CAPS),
-        (base.rlike(ALNUM_SHORT), K.REASON_ALNUM),
-        (base.rlike(r"^\p{Nd}+\z") & (F.length(base) <= 3), K.REASON_SHORT_DIGITS),
-        (_spaced_digits(base), K.REASON_SPACED_DIGITS),
-        (base.rlike(ROMAN_ONLY), K.REASON_ROMAN),
-    ])
-    return F.when(raw == "", K.REASON_EMPTY).when(~is_sfx(raw) & (base != ""), ruled)
+    def rules(v: Column) -> Column:
+        raw, base = v["raw"], v["base"]
+        ruled = first_match([
+            (base.rlike(SYMBOLS), K.REASON_SYMBOL),
+            (base.rlike(r"^[A-Z]{2}\z"), K.REASON_CAPS),
+            (base.rlike(ALNUM_SHORT), K.REASON_ALNUM),
+            (base.rlike(r"^\p{Nd}+\z") & (F.length(base) <= 3), K.REASON_SHORT_DIGITS),
+            (_spaced_digits(base), K.REASON_SPACED_DIGITS),
+            (base.rlike(ROMAN_ONLY), K.REASON_ROMAN),
+        ])
+        # the rules are cheaper than the sound-effect test, which only lifts them
+        return F.when(raw == "", K.REASON_EMPTY).when(
+            (base != "") & ruled.isNotNull() & ~is_sfx(raw), ruled
+        )
+
+    return let(with_base(F.coalesce(col(text), F.lit(""))), rules)
 
 
 def merge_noise(text: ColumnLike) -> Column:
     """Rows that must stay out of line merging."""
-    base = strip_trailing_punct(F.coalesce(col(text), F.lit("")))
-    return (base != "") & any_of([
+    return let(strip_trailing_punct(F.coalesce(col(text), F.lit(""))), lambda base: (base != "") & any_of([
         base.rlike(SYMBOLS),
         base.rlike(r"^[A-Z]{2}\z"),
         base.rlike(ALNUM_SHORT),
         base.rlike(r"^\p{Nd}+\z") & (F.length(base) <= 3),
         _spaced_digits(base),
         base.rlike(ROMAN_ONLY),
-    ])
+    ]))
 
 
 def skip_translation_reason(text: ColumnLike) -> Column:
-    t = strip(F.coalesce(col(text), F.lit("")))
-    return first_match([
+    return let(strip(F.coalesce(col(text), F.lit(""))), lambda t: first_match([
         (t == "", K.REASON_EMPTY),
         (t.rlike(DIGITS_OR_SYMBOLS), K.REASON_DIGITS),
         (t.rlike(ROMAN_ONLY), K.REASON_ROMAN),
-    ])
+    ]))
 
 
 def detection_reject(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.constants import (
     CJK, FAILURE_MARKER, HANGUL, HANGUL_WIDE, KANA, LATIN_LETTERS,
 )
-from pageloom.functions.base import ColumnLike, col, is_ascii, nonspace, strip
+from pageloom.functions.base import ColumnLike, col, is_ascii, let, nonspace, strip
 
 
 def is_failure(text: ColumnLike) -> Column:
@@ -26,9 +26,11 @@ def has_hangul(text: ColumnLike) -> Column:
 
 
 def _share(text: ColumnLike, chars: str) -> Column:
-    body = nonspace(text)
-    kept = F.length(F.regexp_replace(body, f"[^{chars}]", ""))
-    return F.when(F.length(body) > 0, kept / F.length(body)).otherwise(F.lit(0.0))
+    def ratio(body: Column) -> Column:
+        kept = F.length(F.regexp_replace(body, f"[^{chars}]+", ""))
+        return F.when(F.length(body) > 0, kept / F.length(body)).otherwise(F.lit(0.0))
+
+    return let(nonspace(text), ratio)
 
 
 def hangul_ratio(text: ColumnLike) -> Column:

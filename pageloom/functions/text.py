@@ -26,27 +26,35 @@ def levenshtein_ratio(a: ColumnLike, b: ColumnLike) -> Column:
 
 def split_by_punctuation(text: ColumnLike) -> Column:
     """Struct (top, bottom): cut after the mark nearest the middle, else in half."""
-    t = strip(F.coalesce(col(text), F.lit("")))
-    n = F.length(t)
-    mid = F.floor(n / 2).cast("int")
     unmarked = "^[^" + "".join(SPLIT_PUNCT) + "]*"
-    # steps from the middle to the nearest mark on either side
-    head, tail = F.substring(t, F.lit(1), mid + 1), F.substring(t, mid + 2, n)
-    back = F.length(F.regexp_extract(F.reverse(head), unmarked, 0))
-    ahead = F.length(F.regexp_extract(tail, unmarked, 0)) + 1
-    back = F.when(back < F.length(head), back)
-    ahead = F.when(ahead <= F.length(tail), ahead)
-    best = F.when(back.isNotNull() & (ahead.isNull() | (back <= ahead)), mid - back).otherwise(mid + ahead)
-    left, right = F.substring(t, F.lit(1), best + 1), F.substring(t, best + 2, n)
-    good = (n > 4) & (F.length(strip(left)) >= 2) & (F.length(strip(right)) >= 2)
-    half_left, half_right = F.substring(t, F.lit(1), mid), F.substring(t, mid + 1, n)
-    halves = F.when(n <= 4, F.struct(half_left.alias("top"), half_right.alias("bottom"))).otherwise(
-        F.struct(strip(half_left).alias("top"), strip(half_right).alias("bottom"))
-    )
-    return F.when(
-        F.coalesce(good, F.lit(False)),
-        F.struct(strip(left).alias("top"), strip(right).alias("bottom")),
-    ).otherwise(halves)
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        mid = F.floor(n / 2).cast("int")
+        # steps from the middle to the nearest mark on either side
+        head, tail = F.substring(t, F.lit(1), mid + 1), F.substring(t, mid + 2, n)
+        back = F.length(F.regexp_extract(F.reverse(head), unmarked, 0))
+        ahead = F.length(F.regexp_extract(tail, unmarked, 0)) + 1
+        back = F.when(back < F.length(head), back)
+        ahead = F.when(ahead <= F.length(tail), ahead)
+        left_first = back.isNotNull() & (ahead.isNull() | (back <= ahead))
+        return F.struct(t.alias("t"), n.alias("n"), mid.alias("mid"), F.when(left_first, mid - back).otherwise(mid + ahead).alias("best"))
+
+    def sides(v: Column) -> Column:
+        t, n, mid, best = v["t"], v["n"], v["mid"], v["best"]
+        return F.struct(
+            n.alias("n"), strip(F.substring(t, F.lit(1), best + 1)).alias("left"), strip(F.substring(t, best + 2, n)).alias("right"),
+            F.substring(t, F.lit(1), mid).alias("half_left"), F.substring(t, mid + 1, n).alias("half_right"),
+        )
+
+    def choose(v: Column) -> Column:
+        good = F.coalesce((F.length(v["left"]) >= 2) & (F.length(v["right"]) >= 2), F.lit(False))
+        pair = lambda a, b: F.struct(a.alias("top"), b.alias("bottom"))
+        return F.when(v["n"] <= 4, pair(v["half_left"], v["half_right"])).when(good, pair(v["left"], v["right"])).otherwise(
+            pair(strip(v["half_left"]), strip(v["half_right"]))
+        )
+
+    return let(let(let(strip(F.coalesce(col(text), F.lit(""))), cut), sides), choose)
 
 
 def split_by_ratio(sources: ColumnLike, translation: ColumnLike) -> Column:
