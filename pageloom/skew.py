@@ -154,7 +154,7 @@ def _pieced(df: DataFrame, keys: list[str], order: list[Column], scans: dict[str
             summary.append(F.max(value).alias(f"_s_{name}"))
         elif s.kind == "running_sum":
             summary.append(F.sum(value).alias(f"_s_{name}"))
-    first_rank = {"_at": _plain(rank(), within, order), "_last": F.lead(F.lit(1)).over(
+    first_rank = {"_pc_at": _plain(rank(), within, order), "_pc_last": F.lead(F.lit(1)).over(
         Window.partitionBy(*within).orderBy(*order)
     ).isNull()}
     # one row per piece: as many rows as pieces plus keys
@@ -179,8 +179,8 @@ def _pieced(df: DataFrame, keys: list[str], order: list[Column], scans: dict[str
         own, c = F.col(name), F.col(f"_c_{name}")
         final[name] = {
             "rank": lambda: own + c,
-            "previous": lambda: F.when((F.col("_at") == 1) & c.isNotNull(), c[f"_in_{name}"]).otherwise(own),
-            "following": lambda: F.when(F.col("_last") & c.isNotNull(), c[f"_in_{name}"]).otherwise(own),
+            "previous": lambda: F.when((F.col("_pc_at") == 1) & c.isNotNull(), c[f"_in_{name}"]).otherwise(own),
+            "following": lambda: F.when(F.col("_pc_last") & c.isNotNull(), c[f"_in_{name}"]).otherwise(own),
             "max_before": lambda: F.greatest(own, c),
             "running_max": lambda: F.greatest(own, c),
             "running_sum": lambda: F.when(c.isNull(), own).when(own.isNull(), c).otherwise(own + c),

@@ -50,7 +50,8 @@ def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     docs = _documents(spark, path, REPORT).withColumn(
         "valid", F.col("_corrupt_record").isNull() & F.col("task_id").isNotNull()
     )
-    reports = docs.drop("_corrupt_record", "regions").withColumn("region_count", F.coalesce(F.size(docs["regions"]), F.lit(0)))
+    count = F.when(F.col("regions").isNotNull(), F.size("regions")).otherwise(F.lit(0))
+    reports = docs.withColumn("region_count", count).drop("_corrupt_record", "regions")
     regions = docs.where("valid").select("task_id", "file", F.posexplode("regions").alias("pos", "r")).select(
         "task_id", "file", "pos", "r.*"
     )
@@ -158,8 +159,9 @@ def read_slice_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per slice of every slice index."""
     docs = _documents(spark, path, SLICES)
     return docs.where("slices IS NOT NULL").select(
-        "file", "version", "original_width", "original_height", "slice_height", "overlap", F.posexplode("slices").alias("index", "s")
-    ).select("file", "version", "original_width", "original_height", "slice_height", "overlap", "index", "s.*")
+        F.col("file").alias("index_file"), "version", "original_width", "original_height", "slice_height", "overlap",
+        F.posexplode("slices").alias("index", "s"),
+    ).select("index_file", "version", "original_width", "original_height", "slice_height", "overlap", "index", "s.*")
 
 
 def write_slice_index(spans: DataFrame, path: str, width: str, height: str, slice_height: int, overlap: int) -> None:

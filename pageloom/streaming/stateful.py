@@ -170,7 +170,10 @@ class ProbeBan(StatefulProcessor):
             if len(recent) >= self.retries:
                 until, recent = at + self.ban_ms, []
                 out.append((key[0], ts, pd.Timestamp(until, unit="ms")))
-        self.recent.put([(x,) for x in recent])
+        if recent:
+            self.recent.put([(x,) for x in recent])
+        else:
+            self.recent.clear()
         if until is not None:
             self.until.update((until,))
         yield pd.DataFrame(out, columns=["host", "banned_at", "banned_until"])
