@@ -17,29 +17,29 @@ LINKS = """WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a h
 @query("extract_nodes", LINKS + """, t AS (SELECT page_id, count(*) AS links FROM a GROUP BY 1)
  SELECT page_id, 'link' AS kind, links AS n FROM t UNION ALL SELECT page_id, 'title', 1 FROM pages""")
 def _(t):
-    nodes = extract_nodes(t.pages).where("kind IN ('link', 'title')")
+    nodes = extract_nodes(t.spread("pages")).where("kind IN ('link', 'title')")
     return nodes.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("extract_links", LINKS + """SELECT DISTINCT page_id, link AS url FROM l""")
 def _(t):
-    return H.extract_links(extract_nodes(t.pages)).select("page_id", "url")
+    return H.extract_links(extract_nodes(t.spread("pages"))).select("page_id", "url")
 
 
 @query("article_fields")
 def _(t):
-    out = H.article_fields(t.pages, extract_nodes(t.pages))
+    out = H.article_fields(t.pages, extract_nodes(t.spread("pages")))
     return out.withColumn("paragraphs", F.size("paragraphs"))
 
 
 @query("article_titles", f"""SELECT page_id, {S.strip("regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '" + S.WS + "+', ' ', 'g')")} AS title FROM pages""")
 def _(t):
-    return H.article_fields(t.pages, extract_nodes(t.pages)).select("page_id", "title")
+    return H.article_fields(t.pages, extract_nodes(t.spread("pages"))).select("page_id", "title")
 
 
 @query("main_content")
 def _(t):
-    return H.main_content(extract_nodes(t.pages)).select("page_id", "score", F.array_join("paragraphs", "\n\n").alias("content"))
+    return H.main_content(extract_nodes(t.spread("pages"))).select("page_id", "score", F.array_join("paragraphs", "\n\n").alias("content"))
 
 
 # the same documents as structured data: list, graph and single items

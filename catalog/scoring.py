@@ -82,7 +82,7 @@ def replies(t):
     numbered = F.transform(
         lines, lambda s, k: F.when((i % 4 == 3) | ((k + 1) % 5 == i % 5), s).otherwise(F.concat((k + 1).cast("string"), F.lit(". "), s))
     )
-    return t.documents.select(i.alias("batch_id"), (F.size(lines) + 1).alias("n"), F.array_join(numbered, "\n").alias("reply"))
+    return t.spread("documents").select(i.alias("batch_id"), (F.size(lines) + 1).alias("n"), F.array_join(numbered, "\n").alias("reply"))
 
 
 LINE_RE = "^(\\p{Nd}+)" + S.WS + "*[.)）:、：-]" + S.WS + "*([^\\n]+)$"

@@ -19,7 +19,7 @@ TEXTS = """, texts AS (
 
 def texts(t) -> DataFrame:
     """Whole documents and both texts of every region, as one long table."""
-    docs = t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    docs = t.spread("documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     both = t.regions.select(
         "region_id",
         F.explode(F.array(

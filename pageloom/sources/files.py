@@ -65,7 +65,9 @@ def write_reports(reports: DataFrame, regions: DataFrame, path: str, files: int
     """
     fields = [c for c in regions.columns if c not in ("task_id", "file", "pos")]
     nested = regions.groupBy("task_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("r")))).alias("_r")
+        F.array_sort(
+            F.collect_list(F.struct("pos", F.struct(*fields).alias("r"))), lambda a, b: a["pos"] - b["pos"]
+        ).alias("_r")
     ).select("task_id", F.col("_r.r").alias("regions"))
     named = reports.drop("file", "mtime", "valid", "region_count").join(nested, "task_id", "left").withColumn(
         "report_name", F.concat(source_slug("image_path"), F.lit("__"), F.col("task_id"))
