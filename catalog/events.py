@@ -28,9 +28,8 @@ def _(t):
 @query("task_store", """, l AS (SELECT task_id, arg_max(stage, ts) AS stage, max(ts) AS ts FROM progress GROUP BY 1)
  SELECT task_id, stage FROM (SELECT * FROM l WHERE ts >= (SELECT max(ts) FROM progress) - INTERVAL 36 HOUR ORDER BY ts DESC, task_id DESC LIMIT 100)""", ("progress",))
 def _(t):
-    now = t.progress.agg(F.max("ts").alias("now"))
-    events = t.progress.crossJoin(F.broadcast(now))  # one row
-    last = E.task_store(events, F.col("now"), 36 * 3600, 100, ["stage", "now"])
+    now = t.progress.agg(F.max("ts")).scalar()
+    last = E.task_store(t.progress, now, 36 * 3600, 100, ["stage"])
     return last.select("task_id", "stage")
 
 

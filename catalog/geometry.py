@@ -73,7 +73,7 @@ def _(t):
     )
 
 
-@query("remap_boxes", """SELECT region_id, x1, y1 + tile_y AS y1, x2, y2 + tile_y AS y2
+@query("remap_boxes", """SELECT region_id, x1, CAST(y1 + tile_y AS INT) AS y1, x2, CAST(y2 + tile_y AS INT) AS y2
   FROM (SELECT *, (pos % 3) * 512 AS tile_y FROM lines)""", ("lines",))
 def _(t):
     from pageloom.operators.joins import remap_to_page

@@ -104,8 +104,8 @@ def remap_to_page(local: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFr
     shifted = local.join(tiles, keys, "left")
     dx, dy = F.coalesce("x_offset", F.lit(0)), F.coalesce("y_offset", F.lit(0))
     return shifted.withColumns({
-        "x1": (F.col("x1") + dx).cast("long"), "y1": (F.col("y1") + dy).cast("long"),
-        "x2": (F.col("x2") + dx).cast("long"), "y2": (F.col("y2") + dy).cast("long"),
+        "x1": (F.col("x1") + dx).cast("int"), "y1": (F.col("y1") + dy).cast("int"),
+        "x2": (F.col("x2") + dx).cast("int"), "y2": (F.col("y2") + dy).cast("int"),
     }).drop("x_offset", "y_offset")
 
 

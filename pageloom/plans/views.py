@@ -88,14 +88,14 @@ class Tables:
     def regions(self) -> DataFrame:
         """The core table: box, texts and confidence of every region."""
         docs = self.table("documents")
-        n = docs.agg((F.max("doc_id") + 1).alias("n"))
+        n = docs.agg(F.max("doc_id") + 1).scalar()
         snippets = docs.select("doc_id", "text")
         fixed = {
             0: "BOOM!", 1: "NEWTOKI 95", 2: "12 34", 3: "쾅!", 4: "A1_$", 5: "안녕 하세요",
             6: "...", 7: "site.com",
         }
-        lines = self.lines.crossJoin(F.broadcast(n))  # one row: the modulus
-        joined = lines.join(snippets, snippets["doc_id"] == F.col("l_partkey") % F.col("n"))
+        lines = self.lines.withColumn("doc_id", F.col("l_partkey") % n)
+        joined = lines.join(snippets, "doc_id")
         kind = F.col("l_partkey") % 23
         source = F.substring(
             "text", (1 + F.col("l_suppkey") % 20).cast("int"), (4 + F.col("l_linenumber") * 3).cast("int")
