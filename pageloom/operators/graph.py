@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from pageloom.skew import checkpoint
 
-MAX_ROUNDS = 60
-
 
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(
@@ -30,7 +28,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     before = _signature(e)
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -41,8 +39,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -58,9 +54,8 @@ def first_come_set(edges: DataFrame) -> DataFrame:
     """
     open_edges = checkpoint(edges.select("winner", "loser").distinct())
     done: DataFrame | None = None
-    for _ in range(10_000):
-        if open_edges.isEmpty():
-            break
+    # every round decides the first-served open node at least, so this ends
+    while not open_edges.isEmpty():
         nodes = open_edges.select(F.col("winner").alias("node")).unionByName(
             open_edges.select(F.col("loser").alias("node"))
         ).distinct()

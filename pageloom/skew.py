@@ -18,7 +18,7 @@ import math
 import tempfile
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 200_000
@@ -59,21 +59,24 @@ def profile_keys(df: DataFrame, keys: list[str], limit: int = ROWS_PER_TASK) ->
     return KeyProfile(tuple(keys), rows, hot_count, limit, hot)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage.
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder on storage that all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    local session without that setting gets a folder of its own.
+    It lies in the folder named by ``spark.checkpoint.dir``; only a local
+    session without that setting gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through reliable storage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
