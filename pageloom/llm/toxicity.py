@@ -27,7 +27,7 @@ from pageloom.llm.common import (
 #: hashed features; also the bound of the weights that are broadcast
 DIMENSIONS = 1 << 20
 #: labelled rows that a model is fitted on, at most
-SAMPLE = 12_000
+SAMPLE = 16_000
 HELD_OUT = 5
 
 
@@ -67,7 +67,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Ftrl:
     """FTRL-proximal logistic regression on sparse 0/1 features; the last weight is the bias."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.6, l2: float = 1.0):
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
 
