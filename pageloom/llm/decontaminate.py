@@ -204,3 +204,27 @@ def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_SPLIT = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+b AS (SELECT item_id, {_SPLIT} AS w FROM benchmark),
+bl AS (SELECT item_id, w, least(10, len(w)) AS l FROM b WHERE len(w) > 0),
+bw AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS t
+  FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM bl)),
+dw AS (
+  SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS t
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i
+        FROM d CROSS JOIN (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)),
+hits AS (SELECT doc_id, i, dw.l AS l, item_id FROM dw JOIN bw USING (t)),
+spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hits) GROUP BY doc_id),
+names AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
