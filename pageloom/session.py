@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_SHIPPED: set[str] = set()
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,3 +40,33 @@ def local_session(cpus: int | str = 8, app: str = "pageloom", **extra: str) -> S
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application.
+
+    Python operators run in workers that know nothing of the driver's search path.
+    Where the package is installed on every node this costs one small archive.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="pageloom-package-"))
+    archive = folder / "pageloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, f"pageloom/{path.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package on the executors first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
