@@ -21,6 +21,9 @@ import heapq
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,10 @@ from pageloom.skew import checkpoint
 
 WINDOW, END_ID = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
+#: punctuation that is a token of its own after letters
+TAILS = ".,;:!?"
 #: words whose ids a task remembers
-CACHE = 200_000
+CACHE = 500_000
 #: pieces of one inverted index, terms of a query, neighbours asked for
 SHARD, QUERY_TERMS, NEIGHBOURS = 4_096, 12, 16
 K1, B = 1.2, 0.75
@@ -52,27 +57,70 @@ class Ids:
     """Ids of texts as bytes (little-endian, 32 bits), by way of their words.
 
     White space never survives this tokenizer, so the ids of a text are those of
-    its words, one after another.
+    its words, one after another.  It lowers its input and parts letters from a
+    punctuation mark after them, so ``Word,`` is looked up as ``word`` and ``,``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def of(self, text: bytes) -> bytes:
-        words = text.split()
-        missing = list({w for w in words if w not in self.known})
-        if missing:
-            if len(self.known) + len(missing) > CACHE:
-                self.known = {}
-                missing = list(set(words))
-            for lo in range(0, len(missing), 4096):
-                some = missing[lo:lo + 4096]
-                for word, got in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                    self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        known = self.known
-        return b"".join([known[w] for w in words])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tails = dict(zip(TAILS.encode(), self._one_by_one([bytes([c]) for c in TAILS.encode()])))
+
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters, each with one token that ends a word, in one call."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words):
+            return self._one_by_one(words)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, tails = self.known, self.tails
+        parts, letters, others = [], set(), set()
+        for word in new:
+            base = word[:-1] if word[-1] in tails else word
+            text = base.decode().lower() if base else ""
+            if text.isalpha() and base.decode().isalpha():
+                base = base.lower()
+                parts.append((word, base, tails.get(word[-1], b"")))
+                if base not in known:
+                    letters.add(base)
+            else:
+                others.add(word)
+        for group, encode, size in ((list(letters), self._together, 128), (list(others), self._one_by_one, 4096)):
+            for lo in range(0, len(group), size):
+                some = group[lo:lo + size]
+                known.update(zip(some, encode(some)))
+        for word, base, tail in parts:
+            known[word] = known[base] + tail
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        found = [list(map(self.known.get, w)) for w in words]
+        unknown = [list(map(is_, f, repeat(None))) for f in found]
+        new = set(chain.from_iterable(map(compress, words, unknown)))
+        if len(self.known) + len(new) > CACHE:  # the words of these texts stay
+            self.known = {w: i for ws, f in zip(words, found) for w, i in zip(ws, f) if i is not None}
+        self._learn(new)
+        for w, f, u in zip(words, found, unknown):
+            for at in compress(range(len(w)), u):
+                f[at] = self.known[w[at]]
+        return [b"".join(f) for f in found]
+
+
+@cache
+def _ids(path: str) -> Ids:
+    """One per Python worker, so that tasks share what was learned."""
+    return Ids(path)
 
 
 PIECE = "_id long, start long, length long, ids_crc32 long, doc_tokens long, terms array<int>"
@@ -85,15 +133,16 @@ def _pieces(path: str, window: int) -> Callable:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = Ids(path)
+        ids = _ids(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows, terms = [], []
-                for key, text in zip(part.column("_id").to_pylist(), part.column("text")):
-                    raw = text.as_buffer()
-                    data = ids.of(b"" if raw is None else raw.to_pybytes()) + end
+                raw = [t.as_buffer() for t in part.column("text")]
+                encoded = ids.of([b"" if t is None else t.to_pybytes() for t in raw])
+                for key, data in zip(part.column("_id").to_pylist(), encoded):
+                    data += end
                     total = len(data) // 4
                     for start in range(0, total, window):
                         piece = data[4 * start:4 * (start + window)]
