@@ -6,7 +6,7 @@ words are hashed, and only where the position modulo ``PERIOD`` lies in a
 difference cover.  For any two positions there is a shift below ``PERIOD`` that
 brings both into the cover, so two equal windows always share an anchor at the
 same place inside them.  Windows around an anchor seen more than once are then
-extended to their full length, keyed by 128 bits and ordered by where they
+extended to their full length, keyed by 96 bits and ordered by where they
 start; every window but the first is a repeat.
 
 Steps: (1) exact copies are set aside (of a copy of at least ``window`` words
@@ -73,7 +73,10 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(window: int) -> Callable:
-    """(_id, _tag, text, at) -> full windows around the anchors: (w1, w2, _id, _tag, start)."""
+    """(_id, _tag, text, at) -> full windows around the anchors: (w1, w2, _id, _tag, start, later).
+
+    A document gives a window once, at its first start; ``later`` has the others.
+    """
     slack = PERIOD - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +98,22 @@ def _windows(window: int) -> Callable:
                 if not len(here):
                     continue
                 w1 = window_hash(one(buf, starts, ends), window)[here]
-                w2 = window_hash(two(buf, starts, ends), window)[here]
+                w2 = (window_hash(two(buf, starts, ends), window)[here] >> np.uint64(32)).astype(np.uint32)
                 local = np.searchsorted(first, here, "right") - 1
+                start = (here - first[local]).astype(np.int32)
+                own = w1 ^ (local.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                order = np.argsort(own, kind="stable")
+                new = np.ones(len(own), bool)
+                new[1:] = (own[order][1:] != own[order][:-1]) | (w2[order][1:] != w2[order][:-1])
+                row, run_of = order[new], np.cumsum(new) - 1
+                more = np.bincount(run_of, minlength=len(row)) - 1
+                later = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(more)]).astype(np.int32)), pa.array(start[order[~new]]),
+                    mask=pa.array(more == 0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids[lo + local]),
-                     pa.array(tags[lo + local]), pa.array((here - first[local]).astype(np.int32))],
-                    names=["w1", "w2", *KEY, "start"])
+                    [pa.array(w1[row].view(np.int64)), pa.array(w2[row].view(np.int32)), pa.array(ids[lo + local[row]]),
+                     pa.array(tags[lo + local[row]]), pa.array(start[row]), later],
+                    names=["w1", "w2", *KEY, "start", "later"])
 
     return run
 
@@ -158,9 +171,11 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     }).where("_before is not null or _after is not null")
     places = shared.groupBy(*KEY).agg(F.collect_set("pos").alias("at"))
     windows = texts.join(places, KEY).mapInArrow(
-        _windows(window), "w1 long, w2 long, _id long, _tag long, start int")
+        _windows(window), "w1 long, w2 int, _id long, _tag long, start int, later array<int>")
     order = Window.partitionBy("w1", "w2").orderBy("_id", "start")
-    repeats = windows.withColumn("_rank", F.rank().over(order)).where("_rank > 1")
+    more = F.coalesce("later", F.array().cast("array<int>"))
+    repeats = windows.withColumn("_rank", F.rank().over(order)).where("_rank > 1 or later is not null").select(
+        *KEY, F.explode(F.when(F.col("_rank") > 1, F.array_append(more, F.col("start"))).otherwise(more)).alias("start"))
     facts = originals.select(*KEY, F.lit(None).cast("int").alias("start"), F.lit(True).alias("_first")).unionByName(
         repeats.select(*KEY, "start", F.lit(None).cast("boolean").alias("_first"))
     ).groupBy(*KEY).agg(F.max("_first").alias("_first"), F.collect_set("start").alias("dup"))
