@@ -38,8 +38,8 @@ WINDOW, END_ID = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
 #: punctuation that is a token of its own after letters
 TAILS = ".,;:!?"
-#: words whose ids a task remembers
-CACHE = 500_000
+#: words of a generation; a task remembers two generations
+CACHE = 400_000
 #: pieces of one inverted index, terms of a query, neighbours asked for
 SHARD, QUERY_TERMS, NEIGHBOURS = 4_096, 12, 16
 K1, B = 1.2, 0.75
@@ -64,7 +64,7 @@ class Ids:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -84,18 +84,28 @@ class Ids:
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, new: set[bytes]) -> None:
-        known, tails = self.known, self.tails
+        known, old, tails = self.known, self.old, self.tails
         parts, letters, others = [], set(), set()
         for word in new:
-            base = word[:-1] if word[-1] in tails else word
-            text = base.decode().lower() if base else ""
-            if text.isalpha() and base.decode().isalpha():
-                base = base.lower()
-                parts.append((word, base, tails.get(word[-1], b"")))
-                if base not in known:
-                    letters.add(base)
+            ids = old.get(word)
+            if ids is not None:
+                known[word] = ids
+                continue
+            base, tail = (word[:-1], tails[word[-1]]) if word[-1] in tails else (word, b"")
+            if not base.isalpha():  # more than ASCII letters
+                text = base.decode()
+                if not (text.isalpha() and text.lower().isalpha()):
+                    others.add(word)
+                    continue
+            base = base.lower()
+            parts.append((word, base, tail))
+            if base in known:
+                continue
+            ids = old.get(base)
+            if ids is None:
+                letters.add(base)
             else:
-                others.add(word)
+                known[base] = ids
         for group, encode, size in ((list(letters), self._together, 128), (list(others), self._one_by_one, 4096)):
             for lo in range(0, len(group), size):
                 some = group[lo:lo + size]
@@ -108,8 +118,8 @@ class Ids:
         found = [list(map(self.known.get, w)) for w in words]
         unknown = [list(map(is_, f, repeat(None))) for f in found]
         new = set(chain.from_iterable(map(compress, words, unknown)))
-        if len(self.known) + len(new) > CACHE:  # the words of these texts stay
-            self.known = {w: i for ws, f in zip(words, found) for w, i in zip(ws, f) if i is not None}
+        if len(self.known) + len(new) > CACHE:
+            self.known, self.old = {}, self.known
         self._learn(new)
         for w, f, u in zip(words, found, unknown):
             for at in compress(range(len(w)), u):
