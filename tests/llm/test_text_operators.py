@@ -153,7 +153,7 @@ def test_vantage_tree_finds_every_pair(monkeypatch):
     x = np.unique(np.concatenate([base, near]))
     got = sorted((int(a), int(b)) for p, q in simhash.near_pairs(x, x, 2) for a, b in zip(p, q))
     want = sorted((int(a), int(b)) for i, a in enumerate(x) for b in x[i + 1:] if (int(a) ^ int(b)).bit_count() <= 2)
-    assert got == want and len(want) >= 300
+    assert got == want and len(want) >= 280  # two flips may be of one bit
 
 
 def test_archives(spark):
