@@ -173,7 +173,7 @@ def _(t):
 def _(t):
     """Whole groups to single lines where they are tight."""
     groups = G.group_adjacent(grouped_input(t), GroupRule(x_overlap_ratio=0.5), pairs(t))
-    return G.merge_group_lines(groups, rows=pairs(t).rows)
+    return G.merge_group_lines(groups)
 
 
 @query("merge_lines_geometric")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.plans.views import Tables
+from pageloom.plans.views import ROWS_PER_PAGE, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -15,8 +15,8 @@ ORACLE: dict[str, str] = {}
 VIEWS = {
     "paged": """paged AS (
   SELECT l.*, CAST(floor(l_orderkey/8) AS BIGINT) AS page_id FROM lineitem l)""",
-    "lines": """lines AS (
-  SELECT page_id, page_id*1000 + pos AS region_id, pos,
+    "lines": f"""lines AS (
+  SELECT page_id, page_id*{ROWS_PER_PAGE} + pos AS region_id, pos,
     CAST((l_partkey*37 + l_linenumber*53) % 600 AS INT) AS x1,
     CAST((l_suppkey*29 + l_linenumber*17) % 1800 AS INT) AS y1,
     CAST((l_partkey*37 + l_linenumber*53) % 600 + 20 + CAST(l_quantity AS BIGINT)*4 AS INT) AS x2,

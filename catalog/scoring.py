@@ -8,6 +8,7 @@ from catalog import sqltext as S
 from catalog.greedy import pairs
 from catalog.registry import query
 from catalog.text import CN, KO, KO_MAP_SQL, KO_WORDS, NEEDS, ROMAN, SPACED
+from pageloom import constants as K
 from pageloom.functions import text as X
 from pageloom.operators import greedy as G
 from pageloom.operators import scoring as B
@@ -52,7 +53,7 @@ def _(t):
 
 
 @query("fill_without_request", REQUESTS + f""", r AS (SELECT k.*, st.status, {S.strip("regexp_replace(k.raw, '" + S.PUNCT + "+$', '')")} AS key, regexp_extract(k.raw, '({S.PUNCT}+)$', 1) AS tail FROM k JOIN st USING (page_id, group_no)),
- e AS (SELECT *, CASE WHEN key = '' THEN raw ELSE coalesce({S.cases('upper(key)', S.SFX_EN)}, {KO_MAP_SQL}, key) || tail END AS eff FROM r)
+ e AS (SELECT *, CASE WHEN key = '' THEN raw ELSE coalesce({S.cases('upper(key)', K.SFX_EN)}, {KO_MAP_SQL}, key) || tail END AS eff FROM r)
  SELECT region_id, kind AS row_kind, status, CASE WHEN kind = 'done' THEN '已有' WHEN status = 'sfx' THEN CASE WHEN {S.has('eff', S.HANGUL_WIDE)} THEN '' ELSE eff END
    WHEN status IN ('watermark', 'skip') THEN '' WHEN kind = 'noise' THEN '[INPAINT_ONLY]' WHEN status <> 'send' THEN '' END AS target_text FROM e""", ("regions",))
 def _(t):

@@ -1,17 +1,13 @@
 """SQL fragments the text oracles share (written for DuckDB)."""
 
-WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\p{Z}]"
-PUNCT = "[!！?？….,。]"
-CJK = r"[\x{4E00}-\x{9FFF}]"
-HANGUL = r"[\x{AC00}-\x{D7A3}]"
-HANGUL_WIDE = r"[\x{AC00}-\x{D7A3}\x{3130}-\x{318F}\x{1100}-\x{11FF}]"
-LATIN = r"[A-Za-z\x{DF}\x{131}\x{17F}\x{1F0}\x{1E96}-\x{1E9A}\x{FB00}-\x{FB06}]"
+from pageloom import constants as K
 
-SFX_EN = dict(
-    BANG="砰", BOOM="轰", CRASH="哗啦", SLASH="刷", WHOOSH="嗖", THUD="砰", THUMP="咚",
-    CRACK="咔嚓", RUMBLE="隆隆", SPLASH="哗", CLICK="咔哒", CLACK="咔", TAP="嗒", RUSTLE="沙沙",
-    RATTLE="喀啦",
-)
+WS = K.WS
+PUNCT = f"[{K.TRAIL_PUNCT}]"
+CJK = f"[{K.CJK}]"
+HANGUL = f"[{K.HANGUL}]"
+HANGUL_WIDE = f"[{K.HANGUL_WIDE}]"
+LATIN = f"[{K.LATIN_LETTERS}]"
 
 
 def strip(x: str) -> str:
@@ -70,11 +66,11 @@ def is_sfx(raw: str, b: str, ko: str, cn: str, ko_words: str) -> str:
     return f"""(CASE WHEN {raw} = '' THEN false
       WHEN {has(raw, '^[!！?？]+$')} THEN true
       WHEN {b} = '' THEN false
-      WHEN upper({b}) IN ('TEL','VIP','SMS','ID','NO','OK','TV','VS','FM','AM','DJ','MC','PC') THEN false
+      WHEN upper({b}) IN ({quoted(K.SFX_EXCLUSIONS)}) THEN false
       ELSE {b} IN ({ko}) OR {b} IN ({ko_words}) OR {b} IN ({cn})
-        OR upper({b}) IN ({quoted(SFX_EN)})
+        OR upper({b}) IN ({quoted(K.SFX_EN)})
         OR {has(f'upper({raw})', '^[*]+[^\n]*[*]+\n?$')}
-        OR {has(f'upper({raw})', '^(BOOM|BANG|CRASH|SLASH|WHOOSH|THUD|CRACK|THUMP|SPLASH|RUMBLE)!*$')}
+        OR {has(f'upper({raw})', '^(' + '|'.join(K.SFX_CAPS_WORDS) + ')!*$')}
         OR {has(f'upper({raw})', '^(HA)+!*$')} OR {has(f'upper({raw})', '^(HE)+!*$')}
         OR {has(f'upper({raw})', '^(HO)+!*$')} OR {has(f'upper({raw})', '^(HM)+!*$')}
         OR {has(f'upper({raw})', '^[A-Z]{2,4}!+$')}

@@ -41,7 +41,7 @@ KO = S.quoted(K.SFX_KO)
 KO_WORDS = S.quoted(K.SFX_KO_WORDS)
 CN = S.quoted(sorted(K.SFX_CN_WORDS, key=len, reverse=True))
 KO_MAP_SQL = S.cases("key", K.SFX_KO)
-EN_MAP_SQL = S.cases("upper(key)", S.SFX_EN)
+EN_MAP_SQL = S.cases("upper(key)", K.SFX_EN)
 
 _over_texts("has_cjk", S.has_cjk("text"), script.has_cjk)
 _over_texts("has_hangul", S.has_hangul("text"), script.has_hangul)
@@ -190,16 +190,7 @@ _over_texts(
 
 
 def _annotations(x: str) -> str:
-    w = S.WS
-    steps = [
-        f"(?i)^{w}*(TEXT|CTX){w}*[:：]{w}*", f"(?i)\\b(TEXT|CTX){w}*[:：]{w}*", f"^{w}*翻译{w}*[:：]{w}*",
-        f"(?is){w}*\\(Note:.*?(\\)|\\z)", f"(?s){w}*\\(注[:：].*?(\\)|\\z)",
-        f"(?is){w}*\\(This{w}+(seems?|means?|appears?).*?(\\)|\\z)",
-        f"(?i)Without{w}+more{w}+context[,，][^\n]*?([。.]|\n?\\z)",
-        f"(?i)This{w}+(seems?|means?|appears?){w}+to{w}+be[^\n]*?([。.]|\n?\\z)",
-        f"(?i)direct{w}+translation{w}+might{w}+not[^\n]*?([。.]|\n?\\z)",
-    ]
-    for s in steps:
+    for s in K.ANNOTATIONS:
         x = f"regexp_replace({x}, '{s}', '', 'g')"
     return S.strip(x)
 
@@ -226,7 +217,7 @@ def _annotated(c):
 _over_texts("clean_annotations", _annotations(f"({ANNOTATED})"), lambda c: cleaning.clean_annotations(_annotated(c)))
 _over_texts(
     "clean_input",
-    r"substr(regexp_replace(coalesce(text, ''), '[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]', '', 'g'), 1, 500)",
+    r"regexp_replace(coalesce(text, ''), '[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]', '', 'g')",
     cleaning.clean_input,
 )
 

@@ -79,6 +79,18 @@ WATERMARK_KEYWORDS = (
 PROMPT_HINTS = (
     "assistant", "translate", "output only", "numbered", "json", "system prompt",
 )
+# removed in this order; \b is a word start in the sense of Unicode
+ANNOTATIONS = (
+    f"(?i)^{WS}*(TEXT|CTX){WS}*[:：]{WS}*",
+    f"(?i)\\b(TEXT|CTX){WS}*[:：]{WS}*",
+    f"^{WS}*翻译{WS}*[:：]{WS}*",
+    f"(?is){WS}*\\(Note:.*?(\\)|\\z)",
+    f"(?s){WS}*\\(注[:：].*?(\\)|\\z)",
+    f"(?is){WS}*\\(This{WS}+(seems?|means?|appears?).*?(\\)|\\z)",
+    f"(?i)Without{WS}+more{WS}+context[,，][^\\n]*?([。.]|\\n?\\z)",
+    f"(?i)This{WS}+(seems?|means?|appears?){WS}+to{WS}+be[^\\n]*?([。.]|\\n?\\z)",
+    f"(?i)direct{WS}+translation{WS}+might{WS}+not[^\\n]*?([。.]|\\n?\\z)",
+)
 CHALLENGE_MARKERS = (
     "cf-browser-verification", "challenge-platform", "cloudflare ray id",
     "attention required", "just a moment",
@@ -117,13 +129,21 @@ STAGE_INDEX = {
     "init": 0, "ocr": 1, "translator": 2, "inpainter": 3, "renderer": 4, "upscaler": 5,
     "complete": 6, "failed": 6,
 }
-TASK_STATES = ("pending", "processing", "completed", "failed")
+
+# -- request paths that only probes ask for (fixed values) ------------------------
+PROBE_PATH = (
+    r"^/(?:\.env(?:\..*)?|\.git(?:/.*)?|hiddenbin(?:/.*)?|phpmyadmin(?:/.*)?|wp-admin(?:/.*)?|cgi-bin(?:/.*)?"
+    r"|HNAP1(?:/.*)?|boaform(?:/.*)?|vendor/phpunit(?:/.*)?|server-status(?:/.*)?|\.DS_Store|actuator(?:/.*)?"
+    r"|jmx-console(?:/.*)?|manager/html(?:/.*)?)(?:\?.*)?\z"
+)
+
+# -- image lists in scripts (fixed values) ----------------------------------------
+SCRIPT_ARRAYS = (
+    r"(?s)chapter_preloaded_images\s*=\s*(\[[^\]]+\])", r"(?s)chapter_images\s*=\s*(\[[^\]]+\])", r"(?s)images\s*:\s*(\[[^\]]+\])",
+)
 
 # -- HTML fields (fixed values) -----------------------------------------------------
 ARTICLE_TYPES = ("Article", "NewsArticle", "BlogPosting", "Report", "CreativeWork")
-ARTICLE_FIELDS = (
-    "title", "author", "date", "summary", "cover", "content_text", "paragraphs",
-)
 META_PRIORITY = {
     "title": ("property=og:title", "name=twitter:title", "name=title"),
     "author": ("name=author", "property=article:author"),

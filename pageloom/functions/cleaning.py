@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.constants import (
-    CJK, ERASE_ONLY, FAILURE_MARKER, HANGUL, KO_FIXES, PROMPT_HINTS, SFX_PREFIX, WS,
+    ANNOTATIONS, CJK, ERASE_ONLY, FAILURE_MARKER, HANGUL, KO_FIXES, PROMPT_HINTS, SFX_PREFIX, WS,
 )
 from pageloom.functions.base import ColumnLike, any_of, col, first_match, let, strip
 from pageloom.functions.script import english_ratio, has_cjk, has_hangul
@@ -41,29 +41,19 @@ def watermark_key(text: ColumnLike) -> Column:
 
 def clean_annotations(text: ColumnLike) -> Column:
     """Remove echoed prompt labels, translator notes and explanations."""
-    steps = [
-        f"(?i)^{WS}*(TEXT|CTX){WS}*[:：]{WS}*",
-        f"(?i){_WORD_START}(TEXT|CTX){WS}*[:：]{WS}*",
-        f"^{WS}*翻译{WS}*[:：]{WS}*",
-        f"(?is){WS}*\\(Note:.*?(\\)|\\z)",
-        f"(?s){WS}*\\(注[:：].*?(\\)|\\z)",
-        f"(?is){WS}*\\(This{WS}+(seems?|means?|appears?).*?(\\)|\\z)",
-        f"(?i)Without{WS}+more{WS}+context[,，][^\\n]*?([。.]|\\n?\\z)",
-        f"(?i)This{WS}+(seems?|means?|appears?){WS}+to{WS}+be[^\\n]*?([。.]|\\n?\\z)",
-        f"(?i)direct{WS}+translation{WS}+might{WS}+not[^\\n]*?([。.]|\\n?\\z)",
-    ]
     out = col(text)
-    for pattern in steps:
-        out = F.regexp_replace(out, pattern, "")
+    for pattern in ANNOTATIONS:
+        out = F.regexp_replace(out, pattern.replace(r"\b", _WORD_START), "")
     # most replies hold none of the words the steps look for
     suspect = col(text).rlike("(?i)TEXT|CTX|翻译|Note|注|This|context|direct")
     return strip(F.when(suspect, out).otherwise(col(text)))
 
 
-def clean_input(text: ColumnLike, limit: int = 500) -> Column:
-    """Drop control characters and cut to the request limit."""
+def clean_input(text: ColumnLike, limit: int | None = None) -> Column:
+    """Drop control characters; with a limit, also cut to so many characters."""
     control = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]"
-    return F.substring(F.regexp_replace(F.coalesce(col(text), F.lit("")), control, ""), 1, limit)
+    out = F.regexp_replace(F.coalesce(col(text), F.lit("")), control, "")
+    return out if limit is None else F.substring(out, 1, limit)
 
 
 def is_prompt_artifact(text: ColumnLike) -> Column:

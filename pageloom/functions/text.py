@@ -233,7 +233,9 @@ def source_slug(path: ColumnLike) -> Column:
         rel, lambda s, i: sanitize_component(F.when(i == size - 1, file_stem(s)).otherwise(s))
     )
     slug = F.concat_ws("__", named)
-    return F.when(F.length(slug) > 120, F.substring(slug, -120, 120)).otherwise(slug)
+    # the hash keeps long paths with the same end apart
+    short = F.concat(F.substring(F.sha2(col(path), 256), 1, 12), F.lit("__"), F.substring(slug, -106, 106))
+    return F.when(F.length(slug) > 120, short).otherwise(slug)
 
 
 def coerce_confidence(score: ColumnLike) -> Column:

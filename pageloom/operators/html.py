@@ -211,11 +211,6 @@ def srcset_last(value: Column) -> Column:
     return F.try_element_at(entries, F.lit(-1))
 
 
-SCRIPT_ARRAYS = (
-    r"(?s)chapter_preloaded_images\s*=\s*(\[[^\]]+\])", r"(?s)chapter_images\s*=\s*(\[[^\]]+\])", r"(?s)images\s*:\s*(\[[^\]]+\])",
-)
-
-
 def extract_images(pages: DataFrame, nodes: DataFrame, base: Column | str = "url") -> DataFrame:
     """Image URLs of reader pages in order, each once: srcset, lazy attributes, script arrays."""
     srcset = F.coalesce(F.nullif(_attr("srcset"), F.lit("")), _attr("data-srcset"))
@@ -223,7 +218,7 @@ def extract_images(pages: DataFrame, nodes: DataFrame, base: Column | str = "url
     tags = nodes.where("kind = 'image'").select(
         "page_id", "url", F.col("pos").cast("long").alias("pos"), F.posexplode(found).alias("sub", "ref")
     )
-    arrays = [F.regexp_extract("html", p, 1) for p in SCRIPT_ARRAYS]
+    arrays = [F.regexp_extract("html", p, 1) for p in K.SCRIPT_ARRAYS]
     parsed = [F.from_json(F.replace(a, F.lit("'"), F.lit('"')), "array<string>") for a in arrays]
     urls = F.coalesce(*[F.when((a != "") & (F.size(p) > 0), p) for a, p in zip(arrays, parsed)])
     scripts = pages.select("page_id", "url", F.lit(1 << 40).alias("pos"), F.posexplode(urls).alias("sub", "ref"))

@@ -12,11 +12,6 @@ from pageloom.skew import (
 )
 
 
-def merged_id(ids: Column) -> Column:
-    """Deterministic id of a merged row: a hash of the members' ids."""
-    return F.xxhash64(F.array_sort(ids))
-
-
 def merge_group(regions: DataFrame, keys: list[str], ties: tuple[str, ...] = ("y1", "pos")) -> DataFrame:
     """One row per group: texts from left to right, union box, mean confidence."""
     texts = F.array_sort(F.collect_list(F.struct("x1", *ties, "source_text")))

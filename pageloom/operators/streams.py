@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom import constants as K
 from pageloom.skew import KeyProfile, ordered, previous
 
 FINAL_STAGES = ("complete", "failed")
-PROBE_PATH = (
-    r"^/(?:\.env(?:\..*)?|\.git(?:/.*)?|hiddenbin(?:/.*)?|phpmyadmin(?:/.*)?|wp-admin(?:/.*)?|cgi-bin(?:/.*)?"
-    r"|HNAP1(?:/.*)?|boaform(?:/.*)?|vendor/phpunit(?:/.*)?|server-status(?:/.*)?|\.DS_Store|actuator(?:/.*)?"
-    r"|jmx-console(?:/.*)?|manager/html(?:/.*)?)(?:\?.*)?\z"
-)
 
 
 def is_final(stage: Column, status: Column | None = None) -> Column:
@@ -67,7 +63,7 @@ def duplicate_starts(jobs: DataFrame, key: str = "chapter_id", profile: KeyProfi
 def probe_hits(requests: DataFrame) -> DataFrame:
     """Requests for well-known bad paths that were refused; local ones are ignored."""
     local = F.col("host").rlike(r"^127\.") | (F.col("host") == "::1")
-    return requests.where(F.col("path").rlike(PROBE_PATH) & F.col("code").isin(401, 403, 404) & ~local)
+    return requests.where(F.col("path").rlike(K.PROBE_PATH) & F.col("code").isin(401, 403, 404) & ~local)
 
 
 def probe_ban(hits: DataFrame, max_retry: int = 8, find_seconds: int = 600, ban_seconds: int = 86400) -> DataFrame:

@@ -5,12 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
-@dataclass(frozen=True)
-class PageSize:
-    width: int = 800
-    height: int = 2000
-
-
 @dataclass(frozen=True)
 class FontStyle:
     ref_range: tuple[float, float] = (0.85, 1.15)

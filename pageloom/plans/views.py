@@ -17,6 +17,8 @@ from pageloom.skew import KeyProfile, ordered, profile_keys, rank
 
 PAGE_WIDTH, PAGE_HEIGHT = 800, 2000
 PAGES_PER_CHAPTER, CHAPTERS_PER_SERIES = 12, 10
+# distance of the region ids of two pages; a page above it ends the query with an error
+ROWS_PER_PAGE = 100_000_000
 
 _PROFILES: dict[tuple, KeyProfile] = {}
 
@@ -73,10 +75,13 @@ class Tables:
             "l_extendedprice",
         ]
         q = ordered(self._paged_lines, ["page_id"], order, {"pos": rank()}, self.page_profile)
+        region_id = F.when(F.col("pos") < ROWS_PER_PAGE, F.col("page_id") * ROWS_PER_PAGE + F.col("pos")).otherwise(
+            F.raise_error("a page has too many regions for its ids").cast("long")
+        )
         x1 = (F.col("l_partkey") * 37 + F.col("l_linenumber") * 53) % 600
         y1 = (F.col("l_suppkey") * 29 + F.col("l_linenumber") * 17) % 1800
         return q.select(
-            "page_id", (F.col("page_id") * 1000 + F.col("pos")).alias("region_id"), "pos",
+            "page_id", region_id.alias("region_id"), "pos",
             x1.cast("int").alias("x1"), y1.cast("int").alias("y1"),
             (x1 + 20 + F.col("l_quantity").cast("long") * 4).cast("int").alias("x2"),
             (y1 + 12 + F.col("l_partkey") % 40).cast("int").alias("y2"),

@@ -1,5 +1,7 @@
 """Small inputs with results worked out by hand."""
 
+from collections import namedtuple
+
 from pyspark.sql import functions as F
 
 from pageloom.functions import cleaning, geometry, noise, script, sfx, text, urls
@@ -199,3 +201,72 @@ def test_article(spark):
     assert [(r.url, r.title, r.cover_url) for r in links] == [
         ("https://x.org/a", "pic", "https://x.org/i.png"), ("https://x.org/b", "plain", None),
     ]
+
+
+def test_json_objects_against_a_scan(spark):
+    """Random replies; the expected objects come from cutting out literals first."""
+    import random
+    import re
+
+    rnd = random.Random(5)
+    replies = ["".join(rnd.choice('{}{}"\\a \n') for _ in range(rnd.randrange(40))) for _ in range(300)]
+    replies += [None, "", "{" * 500 + "}" * 500, '{"a": "' + "x" * 100_000 + '"} {}']
+
+    def expected(reply):
+        masked = re.sub(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)', lambda m: "_" * len(m[0]), reply or "", flags=re.S)
+        found, open_at = [], []
+        for i, ch in enumerate(masked):
+            if ch == "{":
+                open_at.append(i)
+            elif ch == "}" and open_at:
+                first = open_at.pop()
+                if not open_at:
+                    found.append(reply[first:i + 1])
+        return found
+
+    from pageloom.functions.base import strip
+    from pageloom.operators.scoring import parse_json_objects
+
+    df = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
+    rows = df.select("reply", strip("reply").alias("s"), parse_json_objects("reply").alias("o")).collect()
+    assert len(rows) == len(replies)
+    for r in rows:
+        assert r.o == expected(r.s), r.reply
+
+
+def test_pack_by_chars_against_a_count(spark):
+    """Batches by bisection equal those of a plain count, also for entries above the limit."""
+    import random
+
+    from pageloom.operators.greedy import _packer
+
+    row = namedtuple("Row", "item_id size")
+    rnd = random.Random(6)
+    for _ in range(200):
+        items = [row(i, rnd.choice((3, 5, 20, 400))) for i in range(rnd.randrange(40))]
+        limit_n, limit_c = rnd.choice((0, 1, 5, 12)), rnd.choice((0, 10, 60, 300))
+        got = _packer(limit_n, limit_c)(items)
+        assert [g[0] for g in got] == [i.item_id for i in items]
+        batches = {}
+        for (_, b, no), item in zip(got, items):
+            batches.setdefault(b, []).append(item.size + len(str(no)))
+        sizes = list(batches.values())
+        for k, own in enumerate(sizes):
+            own[0] += len(str(len(sizes[k - 1]) + 1)) - 1 if k else 0
+            assert len(own) == 1 or ((not limit_n or len(own) <= limit_n) and (not limit_c or sum(own) <= limit_c))
+            if k + 1 < len(sizes):  # the next entry would not have fitted
+                nxt = items[sum(map(len, sizes[:k + 1]))].size + len(str(len(own) + 1))
+                assert (limit_n and len(own) == limit_n) or (limit_c and sum(own) + nxt > limit_c)
+
+
+def test_same_text_without_a_box(spark):
+    """A row without a box is a duplicate of any equal text; a null confidence counts as 0."""
+    df = spark.createDataFrame(
+        [(1, 11, 1, 0, 0, 10, 10, "a", 0.5), (1, 12, 2, None, None, None, None, "a", 0.9), (1, 13, 3, 0, 0, 10, 10, "a", None),
+         (1, 14, 4, 500, 500, 510, 510, "b", None), (1, 15, 5, 500, 500, 510, 510, "b", 0.1),
+         (1, 16, 6, None, None, None, None, None, 0.1), (1, 17, 7, None, None, None, None, None, 0.1),
+         (2, 21, 1, None, None, None, None, "a", 0.9), (1, 18, 8, 700, 700, 710, 710, "c", 0.1)],
+        "page_id long, region_id long, pos long, x1 int, y1 int, x2 int, y2 int, source_text string, confidence double",
+    )
+    kept = {r.region_id for r in greedy.dedup_same_text(df).collect()}
+    assert kept == {12, 15, 16, 17, 18, 21}
