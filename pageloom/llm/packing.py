@@ -20,13 +20,15 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain, compress, repeat
+from itertools import compress, repeat
 from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: punctuation that is a token of its own after letters
 TAILS = ".,;:!?"
 #: words of a generation; a task remembers two generations
-CACHE = 400_000
+CACHE = 700_000
+#: bytes of text tokenized together
+PART = 4 << 20
 #: pieces of one inverted index, terms of a query, neighbours asked for
 SHARD, QUERY_TERMS, NEIGHBOURS = 4_096, 12, 16
 K1, B = 1.2, 0.75
@@ -54,7 +58,7 @@ def vocabulary_path() -> str:
 
 
 class Ids:
-    """Ids of texts as bytes (little-endian, 32 bits), by way of their words.
+    """Ids of texts (unsigned, little-endian, 32 bits), by way of their words.
 
     White space never survives this tokenizer, so the ids of a text are those of
     its words, one after another.  It lowers its input and parts letters from a
@@ -74,6 +78,11 @@ class Ids:
         found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Words of lower-case ASCII letters: nothing to normalize or to part, the model sees them as they are."""
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokenize(w.decode())]).tobytes() for w in words]
+
     def _together(self, words: list[bytes]) -> list[bytes]:
         """Words of letters, each with one token that ends a word, in one call."""
         ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4")
@@ -85,9 +94,9 @@ class Ids:
 
     def _learn(self, new: set[bytes]) -> None:
         known, old, tails = self.known, self.old, self.tails
-        parts, letters, others = [], set(), set()
+        parts, plain, letters, others = [], set(), set(), set()
         for word in new:
-            ids = old.get(word)
+            ids = old.get(word) if word else b""  # white space at an end leaves an empty word
             if ids is not None:
                 known[word] = ids
                 continue
@@ -103,28 +112,39 @@ class Ids:
                 continue
             ids = old.get(base)
             if ids is None:
-                letters.add(base)
+                (plain if base.isalpha() else letters).add(base)
             else:
                 known[base] = ids
-        for group, encode, size in ((list(letters), self._together, 128), (list(others), self._one_by_one, 4096)):
+        for group, encode, size in ((list(plain), self._plain, 4096), (list(letters), self._together, 128), (list(others), self._one_by_one, 4096)):
             for lo in range(0, len(group), size):
                 some = group[lo:lo + size]
                 known.update(zip(some, encode(some)))
         for word, base, tail in parts:
             known[word] = known[base] + tail
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        found = [list(map(self.known.get, w)) for w in words]
-        unknown = [list(map(is_, f, repeat(None))) for f in found]
-        new = set(chain.from_iterable(map(compress, words, unknown)))
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        new = set(compress(words, map(is_, found, repeat(None))))
         if len(self.known) + len(new) > CACHE:
             self.known, self.old = {}, self.known
         self._learn(new)
-        for w, f, u in zip(words, found, unknown):
-            for at in compress(range(len(w)), u):
-                f[at] = self.known[w[at]]
-        return [b"".join(f) for f in found]
+        return [self.known[w] if f is None else f for w, f in zip(words, found)]
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each text (null: none) begin and end.
+
+        Each different word is looked up once a call; its ids are then copied to their places.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        each = self._of_words(coded.dictionary.cast(pa.binary()).to_pylist())
+        copied = pa.array(each, pa.large_binary()).take(coded.indices)
+        if not len(copied):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        _, ends, data = copied.buffers()
+        end = np.frombuffer(ends, np.int64)[:len(copied) + 1] // 4
+        offsets = split.offsets.to_numpy()
+        return np.frombuffer(data, "<u4")[:end[-1]], end[offsets - offsets[0]]
 
 
 @cache
@@ -136,6 +156,16 @@ def _ids(path: str) -> Ids:
 PIECE = "_id long, start long, length long, ids_crc32 long, doc_tokens long, terms array<int>"
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``PART`` bytes of text, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    total, lo = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PART, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _pieces(path: str, window: int) -> Callable:
     """(_id, text) -> pieces of at most a window; the last one of a document has its terms."""
 
@@ -144,22 +174,20 @@ def _pieces(path: str, window: int) -> Callable:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = _ids(path)
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end = np.array([END_ID], dtype="<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in _parts(batch):
                 rows, terms = [], []
-                raw = [t.as_buffer() for t in part.column("text")]
-                encoded = ids.of([b"" if t is None else t.to_pybytes() for t in raw])
-                for key, data in zip(part.column("_id").to_pylist(), encoded):
-                    data += end
-                    total = len(data) // 4
+                encoded, at = ids.of(part.column("text"))
+                for key, a, b in zip(part.column("_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    total = b - a + 1
                     for start in range(0, total, window):
-                        piece = data[4 * start:4 * (start + window)]
-                        size = len(piece) // 4
-                        rows.append((key, start, size, zlib.crc32(piece), total))
-                        if size < window:
-                            which, count = np.unique(np.frombuffer(piece, dtype="<u4"), return_counts=True)
+                        piece = encoded[a + start:min(a + start + window, b)]
+                        if start + window >= total:
+                            piece = np.append(piece, end)
+                        rows.append((key, start, len(piece), zlib.crc32(piece), total))
+                        if len(piece) < window:
+                            which, count = np.unique(piece, return_counts=True)
                             terms.append((which * COUNTS + np.minimum(count, COUNTS - 1)).astype(np.int32))
                         else:
                             terms.append(None)

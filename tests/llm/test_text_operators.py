@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -257,4 +258,5 @@ def test_ids_of_words():
     t = tokenizers.Tokenizer.from_file(packing.vocabulary_path())
     texts = ["Hello, world! don't İstanbul, ẞ. ǅ; á. x y <|endoftext|>, 12.5 ...", "naïve, NAÏVE; Ωσ Σ. 漢字, ٣! a\x1cb", "", "  \n"]
     want = [b"".join(i.to_bytes(4, "little") for i in t.encode(x, add_special_tokens=False).ids) for x in texts]
-    assert packing.Ids(packing.vocabulary_path()).of([x.encode() for x in texts]) == want
+    ids, at = packing.Ids(packing.vocabulary_path()).of(pa.array([*texts, None]))
+    assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == [*want, b""]
