@@ -7,6 +7,7 @@
    digit, addresses stay addresses, names keep script and gender.
 3. Check collisions over all entities at once: a replacement may be neither another
    entity's replacement nor any real entity; losers draw again until none is left.
+   After some draws a replacement grows, so no kind can run out.
 4. Replace: each document receives the replacements of its own entities and pours
    them into the format found, so equal entities are equal afterwards, everywhere.
 
@@ -29,8 +30,8 @@ from pageloom.llm.common import row_id, table, user_id
 from pageloom.skew import checkpoint
 
 KEY = "surrogates"
-#: draws of one entity before its kind counts as exhausted
-DRAWS = 64
+#: draws of one entity before its replacement grows with every further draw
+GROW_AFTER = 8
 
 # -- fixed values: titles that tell a name follows, with the gender they tell
 TITLES = {
@@ -64,7 +65,7 @@ PATTERNS = (
 )
 DETECT = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
 #: no entity spans lines, and every one has one of these in its line
-GATE = re.compile(rf"[0-9@=]|gh[pousr]_|sk-|(?:{'|'.join(TITLES)})\.? ")
+GATE = re.compile(rf"[\d@=]|gh[pousr]_|sk-|(?:{'|'.join(TITLES)})\.? ")
 
 
 def script_of(word: str) -> str:
@@ -107,8 +108,18 @@ class _Stream:
         return number % n
 
 
+def _digit(number: int, like: str) -> str:
+    """A decimal digit in the script of another; any decimal digit has its zero that far below it."""
+    return chr(ord(like) - unicodedata.decimal(like) + number)
+
+
 def _like(text: str, draw: _Stream) -> str:
-    """Digits for digits, letters for letters of the same case, the rest as it is."""
+    """Digits for digits of the same script, letters for letters of the same case, ASCII marks as they are.
+
+    Other characters beyond ASCII give letters too; where nothing but marks was found, all do.
+    """
+    if text.isascii() and not any(c.isalnum() for c in text):
+        return "".join(chr(97 + draw.below(26)) for _ in text)
     out = []
     for c in text:
         if "0" <= c <= "9":
@@ -117,6 +128,10 @@ def _like(text: str, draw: _Stream) -> str:
             out.append(chr(97 + draw.below(26)))
         elif "A" <= c <= "Z":
             out.append(chr(65 + draw.below(26)))
+        elif c.isdecimal():
+            out.append(_digit(draw.below(10), c))
+        elif not c.isascii():
+            out.append(chr((65 if c.isupper() else 97) + draw.below(26)))
         else:
             out.append(c)
     return "".join(out)
@@ -133,26 +148,31 @@ def luhn(digits: str) -> int:
 def surrogate(key: str, kind: str, value: str, attempt: int) -> str:
     """The replacement of a normal form, by key and number of the draw."""
     draw = _Stream(key, kind, value, attempt)
+    grown = max(0, attempt - GROW_AFTER + 1)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")
         hosts = _Stream(key, "domain", domain)
-        return f"{_like(local, draw)}@{'.'.join([*(_like(x, hosts) for x in labels[:-1]), labels[-1]])}"
+        return f"{_like(local + 'x' * grown, draw)}@{'.'.join([*(_like(x, hosts) for x in labels[:-1]), labels[-1]])}"
     if kind == "ip":
         first = value.split(".")[0]
         kept = first if first in ("10", "127", "192", "172") else str(1 + draw.below(223))
-        return ".".join([kept, *(str(draw.below(256)) for _ in range(2)), str(1 + draw.below(254))])
+        parts = [kept, *(str(draw.below(256)) for _ in range(2)), str(1 + draw.below(254))]
+        return ".".join([*parts, *(str(draw.below(256)) for _ in range(grown))])
     if kind == "card":
-        body = value[0] + _like(value[1:-1], draw)
+        body = value[0] + _like(value[1:-1] + value[-1] * grown, draw)
         # the same remainder of the check sum, so valid stays valid
-        last = next(d for d in "0123456789" if luhn(body + d) == luhn(value))
+        last = next(d for d in (_digit(n, value[-1]) for n in range(10)) if luhn(body + d) == luhn(value))
         return body + last
     if kind == "phone" and value.startswith("+"):
-        return value[:2] + str(1 + draw.below(9)) + _like(value[3:], draw)
+        return value[:2] + _digit(1 + draw.below(9), value[2]) + _like(value[3:] + value[-1] * grown, draw)
+    if kind in ("phone", "ssn"):
+        return _like(value + value[-1] * grown, draw)
     if kind == "iban":
-        return value[:2] + _like(value[2:], draw)
-    if kind == "secret" and value.startswith("AKIA"):
-        return "AKIA" + _like(value[4:], draw)
+        return value[:2] + _like(value[2:] + "0" * grown, draw)
+    if kind == "secret":
+        kept = "AKIA" if value.startswith("AKIA") else ""
+        return kept + _like(value[len(kept):], draw) + _like("x" * grown, draw)
     if kind.startswith("name-"):
         script = script_of(value)
         length = 2 + attempt // 4 + draw.below(2)
@@ -161,9 +181,9 @@ def surrogate(key: str, kind: str, value: str, attempt: int) -> str:
 
 
 def pour(found: str, normal: str) -> str:
-    """Characters of a replacement in the format that was found."""
+    """Characters of a replacement in the format that was found; a longer one goes on behind it."""
     marks = iter(normal.replace("+", ""))
-    return "".join(next(marks) if c.isalnum() else c for c in found)
+    return "".join(next(marks) if c.isalnum() else c for c in found) + "".join(marks)
 
 
 def _case(word: str, like: str) -> str:
@@ -241,7 +261,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     real = entities.select("kind", F.col("value").alias("surrogate"))
     left = entities.withColumn("attempt", F.lit(0))
     settled: DataFrame | None = None
-    for _ in range(DRAWS):
+    while True:
         drawn = left.mapInArrow(_draw(key), "kind string, value string, attempt int, surrogate string")
         taken = real if settled is None else real.unionByName(settled.select("kind", "surrogate"))
         free = drawn.join(taken.withColumn("taken", F.lit(True)).distinct(), ["kind", "surrogate"], "left")
@@ -252,7 +272,6 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         left = judged.where("not good").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if left.isEmpty():
             return settled
-    raise RuntimeError("a kind of entities has no free surrogates left")
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
