@@ -10,6 +10,7 @@
    After some draws a replacement grows, so no kind can run out.
 4. Replace: each document receives the replacements of its own entities and pours
    them into the format found, so equal entities are equal afterwards, everywhere.
+   Words of a name are also replaced where they follow later without a title.
 
 What is drawn depends on the key and the entity alone, except where a collision
 forced another draw.
@@ -191,23 +192,49 @@ def _case(word: str, like: str) -> str:
 
 
 def replace(text: str, known: dict[tuple[str, str], str]) -> tuple[str, int]:
-    """The text with replacements, and how many entities it had."""
+    """The text with replacements, and how many entities it had.
+
+    The words of a name are replaced wherever they stand alone later on, written the same way.
+    """
     count = 0
+    names: dict[str, str] = {}
+    bare: re.Pattern | None = None
 
     def one(m: re.Match) -> str:
-        nonlocal count
+        nonlocal count, bare
         count += 1
         kind, found = m.lastgroup, m[0]
         forms = normal_forms(kind, found)
         if kind == "name":
             title, _, words = _name_words(found)
-            return " ".join([title, *(_case(known[f], w) for f, w in zip(forms, words))])
+            new = [_case(known[f], w) for f, w in zip(forms, words)]
+            if not names.keys() >= set(words):
+                names.update({w: n for w, n in zip(words, new) if w not in names})
+                bare = re.compile(rf"\b(?:{'|'.join(sorted(names, key=len, reverse=True))})\b")
+            return " ".join([title, *new])
         new = known[forms[0]]
         return pour(found, new) if kind in ("card", "ssn", "iban", "phone") else new
 
+    def between(line: str, a: int, b: int) -> str:
+        nonlocal count
+        if bare is None or a == b:
+            return line[a:b]
+        out = []
+        for m in bare.finditer(line, a, b):
+            out += [line[a:m.start()], names[m[0]]]
+            a = m.end()
+            count += 1
+        return "".join([*out, line[a:b]])
+
     if not GATE.search(text):
         return text, 0
-    lines = [DETECT.sub(one, line) if GATE.search(line) else line for line in text.split("\n")]
+    lines = []
+    for line in text.split("\n"):
+        out, at = [], 0
+        for m in DETECT.finditer(line) if GATE.search(line) else ():
+            out += [between(line, at, m.start()), one(m)]
+            at = m.end()
+        lines.append("".join([*out, between(line, at, len(line))]))
     return "\n".join(lines), count
 
 

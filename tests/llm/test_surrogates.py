@@ -34,3 +34,11 @@ def test_spaces_grow(kind, value, found):
     assert len(last[1]) > len(last[0]) + 20
     if found:  # nothing of a longer replacement is lost in the format
         assert re.sub(r"\W", "", surrogates.pour(found, last[1])) == last[1].replace("+", "")
+
+
+def test_later_bare_names(spark):
+    text = "Keller? Mrs. Anna Keller came.\nKeller said: Anna, kellers and Kellerman; KELLER, keller.\nMail x@y.com Keller"
+    row = surrogates.pseudonymize(spark.createDataFrame([(1, text), (2, "Keller alone, 7")], "doc_id long, text string")).where("doc_id = 1").first()
+    given, family = re.search(r"Mrs\. (\w+) (\w+) came", row.text).groups()
+    assert row.text.startswith("Keller? ") and re.search(rf"\n{family} said: {given}, kellers and Kellerman; KELLER, keller\.\nMail \S+ {family}$", row.text)
+    assert row.n_entities == 5
