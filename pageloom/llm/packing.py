@@ -10,14 +10,14 @@ Retrieval is BM25 over token ids.  Document frequencies and the mean length are
 counted over all pieces; a vocabulary is bounded, so they are broadcast.  The index
 is sharded: pieces are range-partitioned by their heaviest terms, with their ids as
 tie-break so that a large group of alike pieces is cut anywhere, and every
-``SHARD`` pieces have an inverted index of their own.  In a shard the longest unused
-piece is a seed, its unused neighbours fill the window by score, and what room is
-left goes to the largest pieces that fit.
+``SHARD`` pieces are searched on their own.  In a shard the longest unused piece is a
+seed; all its terms are asked for, and all unused pieces that share one fill the
+window in the order of their scores as far as they fit.  What room is left then goes
+to the largest pieces that fit.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from array import array
@@ -44,8 +44,8 @@ TAILS = ".,;:!?"
 CACHE = 700_000
 #: bytes of text tokenized together
 PART = 4 << 20
-#: pieces of one inverted index, terms of a query, neighbours asked for
-SHARD, QUERY_TERMS, NEIGHBOURS = 4_096, 12, 16
+#: pieces searched together
+SHARD = 4_096
 K1, B = 1.2, 0.75
 #: a term and its count in one number
 COUNTS = 4096
@@ -167,7 +167,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(path: str, window: int) -> Callable:
-    """(_id, text) -> pieces of at most a window; the last one of a document has its terms."""
+    """(_id, text) -> pieces of at most a window, with their terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -186,11 +186,8 @@ def _pieces(path: str, window: int) -> Callable:
                         if start + window >= total:
                             piece = np.append(piece, end)
                         rows.append((key, start, len(piece), zlib.crc32(piece), total))
-                        if len(piece) < window:
-                            which, count = np.unique(piece, return_counts=True)
-                            terms.append((which * COUNTS + np.minimum(count, COUNTS - 1)).astype(np.int32))
-                        else:
-                            terms.append(None)
+                        which, count = np.unique(piece, return_counts=True)
+                        terms.append((which * COUNTS + np.minimum(count, COUNTS - 1)).astype(np.int32))
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(terms, pa.list_(pa.int32()))],
@@ -199,6 +196,17 @@ def _pieces(path: str, window: int) -> Callable:
     return run
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """terms -> (term, pieces with it), once a task."""
+    n = np.zeros(0, np.int64)
+    for batch in batches:
+        more = np.bincount(batch.column("terms").flatten().to_numpy() // COUNTS, minlength=len(n))
+        more[:len(n)] += n
+        n = more
+    term = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(n[term])], names=["term", "n"])
+
+
 class Bm25:
     """Weights of terms from counts over all pieces."""
 
@@ -233,13 +241,6 @@ def pack_shard(lengths: list[int], packed: list[np.ndarray | None], model: Bm25,
     n = len(lengths)
     size = np.array(lengths)
     weighed = [model.weigh(p, lengths[i]) if p is not None else None for i, p in enumerate(packed)]
-    some = [i for i, w in enumerate(weighed) if w is not None]
-    term = np.concatenate([weighed[i][0] for i in some]) if some else np.zeros(0, np.int64)
-    doc = np.repeat(some, [len(weighed[i][0]) for i in some]) if some else np.zeros(0, np.int64)
-    weight = np.concatenate([weighed[i][1] for i in some]) if some else np.zeros(0)
-    order = np.argsort(term, kind="stable")
-    term, doc, weight = term[order], doc[order], weight[order]
-
     free = np.ones(n, bool)
     pool: list[list[int]] = [[] for _ in range(window + 1)]
     for i in range(n - 1, -1, -1):
@@ -250,6 +251,17 @@ def pack_shard(lengths: list[int], packed: list[np.ndarray | None], model: Bm25,
         free[i] = False
         have[lengths[i]] -= 1
 
+    def index(docs: list[int]) -> tuple[np.ndarray, ...]:
+        """Pieces, where the terms of each begin, terms and weights."""
+        sizes = [len(weighed[i][0]) for i in docs]
+        at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        empty = np.zeros(0, np.int64)
+        return (np.array(docs, np.int64), at, np.concatenate([empty, *(weighed[i][0] for i in docs)]),
+                np.concatenate([empty.astype(float), *(weighed[i][1] for i in docs)]))
+
+    # by length, so that the pieces that fit come first
+    docs, at, term, weight = index(sorted((i for i, w in enumerate(weighed) if w is not None), key=lambda i: (lengths[i], i)))
+    asked = np.zeros(int(term.max()) + 1 if len(term) else 1, bool)
     groups = []
     for seed in sorted(range(n), key=lambda i: (-lengths[i], i)):
         if not free[seed]:
@@ -257,14 +269,21 @@ def pack_shard(lengths: list[int], packed: list[np.ndarray | None], model: Bm25,
         take(seed)
         group, room = [seed], window - lengths[seed]
         if room and weighed[seed] is not None:
-            terms, own = weighed[seed]
-            score = np.zeros(n)
-            for t in terms[np.argsort(-own, kind="stable")[:QUERY_TERMS]]:
-                a, b = np.searchsorted(term, [t, t + 1])
-                score[doc[a:b]] += weight[a:b]
-            near = np.flatnonzero((score > 0) & free & (size <= room))
-            for i in heapq.nsmallest(NEIGHBOURS, near.tolist(), key=lambda i: (-score[i], i)):
-                if lengths[i] <= room:
+            if np.count_nonzero(free[docs]) < 0.7 * len(docs):
+                docs, at, term, weight = index(docs[free[docs]].tolist())
+            k = int(np.searchsorted(size[docs], room, "right"))
+            if k:
+                asked[weighed[seed][0]] = True
+                score = np.add.reduceat(weight[:at[k]] * asked[term[:at[k]]], at[:k])
+                asked[weighed[seed][0]] = False
+                some = np.flatnonzero((score > 0) & free[docs[:k]])
+                near = docs[some][np.lexsort((docs[some], -score[some]))]
+                while room:
+                    fits = size[near] <= room
+                    if not fits.any():
+                        break
+                    first = int(fits.argmax())
+                    i, near = int(near[first]), near[first + 1:]
                     take(i)
                     group.append(i)
                     room -= lengths[i]
@@ -324,15 +343,14 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     tokenizer's file.  Other columns are ignored.
     """
     pieces = checkpoint(docs.select(row_id().alias("_id"), "text").mapInArrow(_pieces(path or vocabulary_path(), window), PIECE))
-    facts = pieces.agg(
-        F.count(F.lit(1)).alias("all"), F.count("terms").alias("n"), F.avg(F.when(F.col("terms").isNotNull(), F.col("length"))).alias("mean")).first()
-    seen = pieces.select(F.explode("terms").alias("t")).groupBy(F.floor(F.col("t") / COUNTS).cast("int").alias("term")).agg(
-        F.count(F.lit(1)).alias("n")).toPandas()
+    facts = pieces.agg(F.count(F.lit(1)).alias("all"), F.avg("length").alias("mean")).first()
+    seen = pieces.select("terms").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(int(seen["term"].max()) + 1 if len(seen) else 1)
     frequency[seen["term"]] = seen["n"]
-    model = Bm25(frequency, facts["n"], facts["mean"] or 1.0)
+    model = Bm25(frequency, facts["all"], facts["mean"] or 1.0)
     shards = max(1, math.ceil(facts["all"] / SHARD))
-    signed = pieces.mapInArrow(_signs(model), f"{PIECE}, sign int, sign2 int")
+    # a whole window is only counted
+    signed = pieces.withColumn("terms", F.when(F.col("length") < window, F.col("terms"))).mapInArrow(_signs(model), f"{PIECE}, sign int, sign2 int")
     order = ["sign", "sign2", "_id", "start", "ids_crc32"]
     packed = signed.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(_pack(model, window), OUT)
     # sequence numbers are fixed once, whatever is repeated later
