@@ -105,12 +105,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     """Weights (DIMENSIONS and the bias).  ``labels``: doc_id, toxic.
 
     Several labels of one doc_id count as toxic if one of them does; null labels
-    and ids without a text teach nothing.  Without any label every weight is zero.
+    and ids without a text teach nothing.  Of several texts of one doc_id the one with
+    the least hash teaches.  Without any label every weight is zero.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         F.max("toxic").cast("int").alias("toxic"))
     chosen = known.withColumn("place", F.xxhash64("_id")).orderBy("place", "_id").limit(sample)
-    texts = docs.select(row_id().alias("_id"), "text").join(F.broadcast(chosen), "_id")  # at most `sample` rows
+    # ids may repeat: one text of each, so at most `sample` rows reach the one task
+    texts = docs.select(row_id().alias("_id"), "text").join(F.broadcast(chosen), "_id").groupBy("_id", "place", "toxic").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     features = texts.select("place", "toxic", "text").mapInArrow(_features, "place long, toxic int, features array<int>")
     learned = features.repartition(1).sortWithinPartitions("place", "toxic", "features").mapInArrow(
         _train(epochs), "feature int, weight double").toPandas()
