@@ -64,6 +64,7 @@ PATTERNS = (
               r"|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"),
     ("name", rf"\b(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME}){{0,2}}"),
 )
+BARE = re.compile(rf"\b{_NAME}\b")
 DETECT = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
 #: no entity spans lines, and every one has one of these in its line
 GATE = re.compile(rf"[\d@=]|gh[pousr]_|sk-|(?:{'|'.join(TITLES)})\.? ")
@@ -198,29 +199,28 @@ def replace(text: str, known: dict[tuple[str, str], str]) -> tuple[str, int]:
     """
     count = 0
     names: dict[str, str] = {}
-    bare: re.Pattern | None = None
 
     def one(m: re.Match) -> str:
-        nonlocal count, bare
+        nonlocal count
         count += 1
         kind, found = m.lastgroup, m[0]
         forms = normal_forms(kind, found)
         if kind == "name":
             title, _, words = _name_words(found)
             new = [_case(known[f], w) for f, w in zip(forms, words)]
-            if not names.keys() >= set(words):
-                names.update({w: n for w, n in zip(words, new) if w not in names})
-                bare = re.compile(rf"\b(?:{'|'.join(sorted(names, key=len, reverse=True))})\b")
+            names.update({w: n for w, n in zip(words, new) if w not in names})
             return " ".join([title, *new])
         new = known[forms[0]]
         return pour(found, new) if kind in ("card", "ssn", "iban", "phone") else new
 
     def between(line: str, a: int, b: int) -> str:
         nonlocal count
-        if bare is None or a == b:
+        if not names or a == b:
             return line[a:b]
         out = []
-        for m in bare.finditer(line, a, b):
+        for m in BARE.finditer(line, a, b):
+            if m[0] not in names:
+                continue
             out += [line[a:m.start()], names[m[0]]]
             a = m.end()
             count += 1
