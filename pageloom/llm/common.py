@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,16 @@ def find_words(buf: np.ndarray, offs: np.ndarray, member: np.ndarray):
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def by_bytes(batch, column: str = "text", limit: int = 4 << 20) -> Iterator:
+    """Runs of rows of a record batch with about ``limit`` bytes of text each, at least one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    total, lo = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

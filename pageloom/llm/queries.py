@@ -7,6 +7,7 @@ from pageloom.llm.chat import OP6_SQL, op6_chat_format
 from pageloom.llm.decontaminate import OP1_SQL, op1_benchmark_decontamination
 from pageloom.llm.lines import OP2_SQL, op2_line_dedup
 from pageloom.llm.packing import op10_lexical_packing
+from pageloom.llm.piecewise import op13_piecewise_fingerprints
 from pageloom.llm.simhash import op5_simhash
 from pageloom.llm.substring import OP3_SQL, op3_substring_dedup
 from pageloom.llm.surrogates import op9_pii_surrogates
@@ -17,7 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_line_dedup, op3_substring_dedup, op4_warc, op5_simhash, op6_chat_format,
-        op7_toxicity, op8_embedding_dedup, op9_pii_surrogates, op10_lexical_packing,
+        op7_toxicity, op8_embedding_dedup, op9_pii_surrogates, op10_lexical_packing, op13_piecewise_fingerprints,
     )
 }
 ORACLE = {
