@@ -4,9 +4,9 @@ A rolling hash over the last ``ROLL`` bytes decides where chunks end: at block s
 2^k a chunk ends where the hash has k trailing one bits, so what stands in the text
 before those bytes has no say, and an insertion moves no boundary behind it.  The
 block size of a text is the smallest at which it has at most ``CHUNKS`` chunks.  A
-signature has one character for each chunk, in order; a fingerprint is
-``k:signature at 2^k:signature at 2^(k+1)``, so texts up to about a factor of four
-apart in length still have a block size in common.
+signature has one character for each chunk, in order; a fingerprint is k and the
+signatures at ``SIZES`` doubling block sizes from 2^k on, parted by colons, so a text
+and its half still have a block size in common.
 
 The likeness of two fingerprints is the best of their signatures at a common block
 size: one less the edit distance (insertions and deletions) over the length of both.
@@ -34,6 +34,8 @@ from pageloom.skew import checkpoint
 
 #: bytes seen by the rolling hash; most characters of the finer signature
 ROLL, CHUNKS = 7, 64
+#: signatures of a fingerprint
+SIZES = 3
 #: characters in a row that alike signatures share
 RUN = 4
 #: rows of a run of neighbouring documents, and how many runs there are at most
@@ -106,13 +108,13 @@ def _signatures(buf: np.ndarray, offs: np.ndarray) -> list[str]:
     row = np.searchsorted(offs, place, "left") - 1
     # empty texts share their end with others; the boundary belongs to the last text that has bytes
     parts = []
-    for more in (0, 1):
+    for more in range(SIZES):
         some = level >= fine[row] + more
         sign = ALPHABET[(mix(np.diff(total[some], prepend=np.uint64(0))) >> np.uint64(58)).astype(np.int64)]
         cut = np.searchsorted(row[some], np.arange(n + 1))
         text = sign.tobytes().decode()
         parts.append([text[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())])
-    return [f"{k}:{a}:{b}" for k, a, b in zip(fine.tolist(), *parts)]
+    return [":".join(map(str, row)) for row in zip(fine.tolist(), *parts)]
 
 
 def fingerprints_of(texts: pa.Array) -> list[str]:
@@ -147,9 +149,9 @@ def likeness(a: str, b: str) -> float:
     """Likeness of two fingerprints, 0 to 1."""
     if a == b:
         return 1.0
-    (k, a1, a2), (m, b1, b2) = a.split(":"), b.split(":")
-    pairs = {0: ((a1, b1), (a2, b2)), 1: ((a1, b2),), -1: ((a2, b1),)}.get(int(k) - int(m), ())
-    return max((_alike(x, y) for x, y in pairs), default=0.0)
+    (k, *x), (m, *y) = a.split(":"), b.split(":")
+    apart = int(m) - int(k)
+    return max((_alike(p, q) for p, q in zip(x[max(0, apart):], y[max(0, -apart):])), default=0.0)
 
 
 @F.pandas_udf(DoubleType())

@@ -32,14 +32,14 @@ def brute(text):
     while sum(o >= k for o in ones) >= piecewise.CHUNKS:
         k += 1
     signs = []
-    for level in (k, k + 1):
+    for level in range(k, k + piecewise.SIZES):
         sign, total = "", 0
         for i, x in enumerate(hashes):
             total += x
             if ones[i] >= level or i == len(data) - 1:
                 sign, total = sign + chr(piecewise.ALPHABET[mixed(total) >> 58]), 0
         signs.append(sign)
-    return f"{k}:{signs[0]}:{signs[1]}"
+    return ":".join([str(k), *signs])
 
 
 def distance(a, b):
@@ -63,7 +63,7 @@ def likeness(a, b):
     if a == b:
         return 1.0
     (k, *x), (m, *y) = a.split(":"), b.split(":")
-    at, to = {int(k): x[0], int(k) + 1: x[1]}, {int(m): y[0], int(m) + 1: y[1]}
+    at, to = ({int(j) + i: sign for i, sign in enumerate(signs)} for j, signs in ((k, x), (m, y)))
     return max((alike(at[s], to[s]) for s in at.keys() & to.keys()), default=0.0)
 
 
@@ -85,7 +85,7 @@ def test_likeness():
     for _ in range(400):
         a, b = ("".join(rng.choice("abcde") for _ in range(rng.randrange(40))) for _ in range(2))
         assert piecewise._distance(a, b) == distance(a, b)
-        marks = f"4:{a}:{b[:9]}", f"{rng.choice([3, 4, 5, 6])}:{b}:{a[3:]}"
+        marks = f"4:{a}:{b[:9]}:{a[:5]}", f"{rng.choice([1, 2, 3, 4, 5, 6, 7])}:{b}:{a[3:]}:{b[4:]}"
         assert piecewise.likeness(*marks) == pytest.approx(likeness(*marks))
     text = " ".join(f"v{rng.randrange(3000)}" for _ in range(900))
     other = " ".join(f"u{rng.randrange(3000)}" for _ in range(900))
