@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pageloom.llm.alignment import op12_tokenizer_alignment
 from pageloom.llm.archives import op4_warc
 from pageloom.llm.chat import OP6_SQL, op6_chat_format
 from pageloom.llm.decontaminate import OP1_SQL, op1_benchmark_decontamination
@@ -18,7 +19,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_line_dedup, op3_substring_dedup, op4_warc, op5_simhash, op6_chat_format,
-        op7_toxicity, op8_embedding_dedup, op9_pii_surrogates, op10_lexical_packing, op13_piecewise_fingerprints,
+        op7_toxicity, op8_embedding_dedup, op9_pii_surrogates, op10_lexical_packing,
+        op12_tokenizer_alignment, op13_piecewise_fingerprints,
     )
 }
 ORACLE = {
