@@ -18,14 +18,11 @@ are that small table, and every document is scored against it where it lies.
 
 Defined results: a null or empty text, or one that a tokenizer does not give back byte
 for byte, has no tokens: zeros and an empty string.  Rows with one doc_id are answered one
-by one; a null doc_id stays.  Other columns are ignored.  A text longer than ``LONG``
-characters is tokenized in parts, cut between an ASCII letter and a space before
-another, where neither tokenizer can join (see ``_Tokens.pieces_start_with_space``).
+by one; a null doc_id stays.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -41,13 +38,12 @@ from pageloom.llm.common import by_bytes, row_id, table, user_id
 from pageloom.skew import shared_folder
 
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: windows that a worker remembers
+#: windows of a generation; a worker remembers two
 MEMO = 200_000
-#: bytes of text tokenized together, and characters of a text above which it is cut
-PART, LONG = 1 << 20, 1 << 18
+#: bytes of text tokenized together; bytes of a part of a text that is remembered
+PART, REMEMBERED = 1 << 20, 64
 #: ids of B stay below this
 STRIDE = 1 << 15
-SEAM = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 def paths() -> tuple[str, str]:
@@ -70,6 +66,7 @@ class _Side:
         self.tokens = pa.array(tokens, pa.large_binary())
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.spaced = np.array([t.startswith(b" ") for t in tokens])
+        self.decimal = pa.array(list(map(str, range(len(tokens)))))
 
 
 class _Tokens:
@@ -86,61 +83,97 @@ class _Tokens:
         a_tokens = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
             a_tokens[i] = bytes(map(of.get, name)) if of.keys() >= set(name) else name.encode()
-        b_tokens, pieces = [], []
+        b_tokens = []
         for i in range(self.b.get_piece_size()):
             name = self.b.id_to_piece(i)
             b_tokens.append(bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode())
-            pieces.append(b_tokens[-1])
         if len(b_tokens) > STRIDE or len(a_tokens) > 1 << 16:
             raise ValueError("ids of a pair do not fit in 31 bits")
         self.sides = _Side(a_tokens), _Side(b_tokens)
-        #: no piece has a space after something else, so pieces never reach over one
-        self.pieces_start_with_space = not any(b" " in p.lstrip(b" ") for p in pieces)
-        self.known: dict[bytes, tuple[str, int, list[int]]] = {}
+        #: no piece has a space after something else, so pieces never reach over one; A splits there by its pattern
+        self.cut = not any(b" " in p.lstrip(b" ") for p in b_tokens)
+        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.old_words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.known: dict[bytes, tuple[str, bytes]] = {}
+        self.old: dict[bytes, tuple[str, bytes]] = {}
 
     def most_pairs(self) -> int:
         return 2 * int(sum(side.length.sum() for side in self.sides))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        parts = [self._parts(t) for t in texts]
-        flat = list(chain.from_iterable(parts))
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in flat], add_special_tokens=False)]
-        b = self.b.encode(flat, num_threads=1)
-        if len(flat) == len(texts):
-            return a, b
-        ends = list(accumulate(map(len, parts)))
-        joined = [[list(chain.from_iterable(side[lo:hi])) for lo, hi in zip([0, *ends], ends)] for side in (a, b)]
-        return joined[0], joined[1]
-
-    def _parts(self, text: str) -> list[str]:
-        """The text, cut at single spaces that start a token of both (and belong to the part behind)."""
-        out, lo = [], 0
-        while len(text) - lo > LONG and self.pieces_start_with_space and (seam := SEAM.search(text, lo + LONG)):
-            out.append(text[lo:seam.start()])
-            lo = seam.end()
-        return [*out, text[lo:]]
-
-    def window(self, key: bytes) -> tuple[str, int, list[int]]:
-        """Groups as text, their number, and linked pairs of a window, from its ids."""
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) >= MEMO:
-                self.known.clear()
-            found = self.known[key] = self._aligned(np.frombuffer(key, np.int32))
-        return found
-
-    def _aligned(self, ids: np.ndarray) -> tuple[str, int, list[int]]:
-        a, b = ids[1:1 + ids[0]].tolist(), ids[1 + ids[0]:].tolist()
-        ends = [list(accumulate(self.sides[s].length[i] for i in side)) for s, side in enumerate((a, b))]
-        at_b = {end: j for j, end in enumerate(ends[1])}
-        groups, links, from_a, from_b = [], [], 0, 0
-        for i, end in enumerate(ends[0]):
-            j = at_b.get(end)
-            if j is not None:
-                groups.append(",".join(map(str, a[from_a:i + 1])) + "|" + ",".join(map(str, b[from_b:j + 1])))
-                links.append(a[i] * STRIDE + b[j])
-                from_a, from_b = i + 1, j + 1
-        return ";".join(groups), len(groups), links
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """All ids of A and of B of the texts (one space before each) between ``offs``, and where those of each text begin.
+
+        Texts are cut before every space that follows a printable ASCII character: no token of
+        either side reaches over it.  Different parts are tokenized once; short ones are remembered.
+        """
+        seam = np.zeros(len(buf), bool)
+        if self.cut:
+            seam[1:] = (buf[1:] == 0x20) & (buf[:-1] > 0x20) & (buf[:-1] < 0x7F)
+            seam[offs[1:] - 1] = False  # a part is more than a space
+        seam[offs[:-1]] = True
+        at = np.flatnonzero(seam)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(at), [
+            None, pa.py_buffer(np.append(at, len(buf)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
+        found = self._ids_of(parts.dictionary.to_pylist())
+        first, out = np.searchsorted(at, offs), []
+        for side in (0, 1):
+            copied = pa.array([f[side] for f in found], pa.large_binary()).take(parts.indices)
+            _, ends, data = copied.buffers()
+            ends = np.frombuffer(ends, np.int64)[:len(copied) + 1] // 4
+            flat = np.frombuffer(data, np.int32)[:ends[-1]] if data is not None else np.zeros(0, np.int32)
+            out.append((flat.astype(np.int64), ends[first]))
+        return out
+
+    def _ids_of(self, parts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        found = list(map(self.words.get, parts))
+        new = [p for p, f in zip(parts, found) if f is None]
+        if len(self.words) + len(new) > MEMO:
+            self.words, self.old_words = {}, self.words
+        learned = {p: f for p in new if (f := self.old_words.get(p)) is not None}
+        unknown = [p for p in new if p not in learned]
+        texts = [p.decode() for p in unknown]
+        a = [np.array(e.ids, np.int32).tobytes() for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = [np.array(ids, np.int32).tobytes() for ids in self.b.encode([t[1:] for t in texts], num_threads=1)]
+        learned.update(zip(unknown, zip(a, b)))
+        self.words.update((p, f) for p, f in learned.items() if len(p) <= REMEMBERED)
+        return [learned[p] if f is None else f for p, f in zip(parts, found)]
+
+    def windows(self, keys: list[bytes]) -> tuple[list[str], list[bytes]]:
+        """Groups as text and linked pairs (32 bits each, one a group) of windows, from their ids."""
+        found = list(map(self.known.get, keys))
+        new = [k for k, f in zip(keys, found) if f is None]
+        if len(self.known) + len(new) > MEMO:
+            self.known, self.old = {}, self.known
+        unknown = []
+        for k in new:
+            f = self.old.get(k)
+            if f is None:
+                unknown.append(k)
+            else:
+                self.known[k] = f
+        if unknown:
+            self.known.update(zip(unknown, zip(*self._aligned(unknown))))
+        found = [self.known[k] if f is None else f for k, f in zip(keys, found)]
+        return [f[0] for f in found], [f[1] for f in found]
+
+    def _aligned(self, keys: list[bytes]) -> tuple[list[str], list[bytes]]:
+        """The same for windows met for the first time, one after another in one sequence of bytes."""
+        width = np.fromiter(map(len, keys), np.int64, len(keys)) // 4
+        flat = np.frombuffer(b"".join(keys), np.int32)
+        end = np.cumsum(width)
+        n_a = flat[end - width].astype(np.int64)
+        ids = flat[_ragged(end - width + 1, n_a)], flat[_ragged(end - width + 1 + n_a, width - 1 - n_a)]
+        ends = [np.cumsum(side.length[i]) for side, i in zip(self.sides, ids)]
+        shared, at_a, at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        parts = []
+        for side, i, at in zip(self.sides, ids, (at_a, at_b)):
+            cut = pa.array(np.concatenate(([0], at + 1)).astype(np.int32))
+            parts.append(pc.binary_join(pa.ListArray.from_arrays(cut, side.decimal.take(pa.array(i))), ","))
+        # both sequences end a window at its last shared end
+        last = np.concatenate(([0], np.searchsorted(at_a, np.cumsum(n_a)))).astype(np.int32)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(last), pc.binary_join_element_wise(*parts, "|")), ";")
+        links = (ids[0][at_a] * STRIDE + ids[1][at_b]).astype(np.int32).tobytes()
+        return text.to_pylist(), [links[lo:hi] for lo, hi in zip((4 * last[:-1]).tolist(), (4 * last[1:]).tolist())]
 
 
 @cache
@@ -167,15 +200,13 @@ ALIGNED = ("_id long, n_a long, n_b long, n_groups long, n_links long, groups st
 
 
 def _align_texts(tokens: _Tokens, texts: list[str]) -> dict[str, pa.Array]:
-    """Columns of ``ALIGNED`` (but _id) of texts that are not empty."""
-    sides, first, same = [], [], np.ones(len(texts), bool)
+    """Columns of ``ALIGNED`` but _id."""
     raw = [b" " + t.encode() for t in texts]
-    for side, ids in zip(tokens.sides, tokens.encode(texts)):
-        flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
-        begin = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int64)
+    offs = np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64)
+    sides, first = zip(*tokens.encode(np.frombuffer(b"".join(raw), np.uint8), offs))
+    same = np.array([bool(t) for t in texts], bool)
+    for side, flat, begin in zip(tokens.sides, sides, first):
         same &= _same_bytes(side, flat, begin, raw)
-        sides.append(flat)
-        first.append(begin)
     n = [np.where(same, np.diff(f), 0) for f in first]
     # the texts that count, one after another: their bytes lie at the same offsets on both sides
     ids = [flat[np.repeat(same, np.diff(f))] for flat, f in zip(sides, first)]
@@ -198,30 +229,26 @@ def _align_texts(tokens: _Tokens, texts: list[str]) -> dict[str, pa.Array]:
     keys[_ragged(key_end - sizes[1], sizes[1])] = ids[1]
     offsets = np.concatenate(([0], 4 * key_end)).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_binary(), len(width), [None, pa.py_buffer(offsets), pa.py_buffer(keys)]).dictionary_encode()
-    which = coded.indices.to_numpy(zero_copy_only=False)
-    found = [tokens.window(k) for k in coded.dictionary.to_pylist()]
+    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lines, linked_pairs = tokens.windows(coded.dictionary.to_pylist())
     # windows of each text that counts
     cut = np.concatenate(([0], np.searchsorted(anchors, ends[0][last[0]], "right"))).astype(np.int32)
-    words = pa.ListArray.from_arrays(pa.array(cut), pa.array([f[0] for f in found], pa.string()).take(coded.indices))
+    words = pa.ListArray.from_arrays(pa.array(cut), pa.array(lines, pa.string()).take(coded.indices))
     joined = pc.binary_join(words, ";").to_pylist()
-    groups, count = [""] * len(texts), np.zeros(len(texts), np.int64)
+    groups = [""] * len(texts)
     for row, text in zip(np.flatnonzero(same).tolist(), joined):
         groups[row] = text
-    per_window = np.array([f[1] for f in found], np.int64)[which] if len(which) else np.zeros(0, np.int64)
-    total = np.concatenate(([0], np.cumsum(per_window)))
-    count[same] = np.diff(total[cut])
-    # distinct pairs of each text, and how often it has them
-    links = np.fromiter(chain.from_iterable(f[2] for f in found), np.int64)
-    many = np.array([len(f[2]) for f in found], np.int64)
-    begin = np.cumsum(many) - many
-    pairs = links[_ragged(begin[which], many[which])] if len(which) else links
+    # different pairs of each text, and how often it has them; a group has one
+    links = np.frombuffer(b"".join(linked_pairs), np.int32).astype(np.int64)
+    many = np.fromiter(map(len, linked_pairs), np.int64, len(linked_pairs)) // 4
+    pairs = links[_ragged((np.cumsum(many) - many)[which], many[which])]
     linked = np.zeros(len(texts), np.int64)
-    linked[same] = np.diff(np.concatenate(([0], np.cumsum(many[which])))[cut]) if len(which) else 0
+    linked[same] = np.diff(np.concatenate(([0], np.cumsum(many[which])))[cut])
     owner = np.repeat(np.arange(len(texts)), linked)
     unique, times = np.unique(owner << 31 | pairs, return_counts=True)
     at = pa.array(np.searchsorted(unique >> 31, np.arange(len(texts) + 1)).astype(np.int32))
     return {
-        "n_a": pa.array(n[0]), "n_b": pa.array(n[1]), "n_groups": pa.array(count), "n_links": pa.array(linked),
+        "n_a": pa.array(n[0]), "n_b": pa.array(n[1]), "n_groups": pa.array(linked), "n_links": pa.array(linked),
         "groups": pa.array(groups, pa.string()),
         "pairs": pa.ListArray.from_arrays(at, pa.array((unique & (1 << 31) - 1).astype(np.int32))),
         "times": pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32))),

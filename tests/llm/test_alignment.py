@@ -84,12 +84,14 @@ def test_counts_and_bound(spark):
     assert len(counts) <= alignment._tokens(*alignment.paths()).most_pairs() < 1_200_000
 
 
-def test_long_texts_in_parts(monkeypatch):
-    tokens = alignment._tokens(*alignment.paths())
-    text = "It's  a long-ish text, don't you think?\nYes:  it is é 漢 字 number 12 and 3 a b c " * 40
-    whole = tokens.encode([text, "short"])
-    monkeypatch.setattr(alignment, "LONG", 17)
-    assert len(tokens._parts(text)) > 60 and tokens.encode([text, "short"]) == whole
+def test_parts_are_whole_texts(spark, monkeypatch):
+    """Words tokenized one by one give the ids of whole texts; a full memory forgets nothing."""
+    monkeypatch.setattr(alignment, "MEMO", 500)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ODD
+    got = alignment._align_texts(alignment._Tokens(*alignment.paths()), [t or "" for t in texts])
+    for i, (n_a, n_b, groups, _) in enumerate(by_hand(texts)):
+        assert (got["n_a"][i].as_py(), got["n_b"][i].as_py()) == (n_a, n_b)
+        assert got["groups"][i].as_py() == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
 
 
 def test_empty_table(spark, no_docs):
