@@ -13,6 +13,7 @@ from pageloom.llm.simhash import op5_simhash
 from pageloom.llm.substring import OP3_SQL, op3_substring_dedup
 from pageloom.llm.surrogates import op9_pii_surrogates
 from pageloom.llm.toxicity import op7_toxicity
+from pageloom.llm.turns import OP11_SQL, op11_conversation_repair
 from pageloom.llm.vectors import OP8_SQL, op8_embedding_dedup
 
 QUERIES = {
@@ -20,10 +21,10 @@ QUERIES = {
     for f in (
         op1_benchmark_decontamination, op2_line_dedup, op3_substring_dedup, op4_warc, op5_simhash, op6_chat_format,
         op7_toxicity, op8_embedding_dedup, op9_pii_surrogates, op10_lexical_packing,
-        op12_tokenizer_alignment, op13_piecewise_fingerprints,
+        op11_conversation_repair, op12_tokenizer_alignment, op13_piecewise_fingerprints,
     )
 }
 ORACLE = {
     "op1_benchmark_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL,
-    "op6_chat_format": OP6_SQL, "op8_embedding_dedup": OP8_SQL,
+    "op6_chat_format": OP6_SQL, "op8_embedding_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL,
 }
