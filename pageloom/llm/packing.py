@@ -10,9 +10,10 @@ Retrieval is BM25 over token ids.  Document frequencies and the mean length are
 counted over all pieces; a vocabulary is bounded, so they are broadcast.  The index
 is sharded: pieces are range-partitioned by their heaviest terms, with their ids as
 tie-break so that a large group of alike pieces is cut anywhere, and every
-``SHARD`` pieces are searched on their own.  In a shard the longest unused piece is a
-seed; all its terms are asked for, and all unused pieces that share one fill the
-window in the order of their scores as far as they fit.  What room is left then goes
+``SHARD`` pieces have an inverted index of their own: for each term its pieces, the
+shorter first, with their weights.  In a shard the longest unused piece is a seed; the
+lists of all its terms are read, as far as pieces fit, and all unused pieces found fill
+the window in the order of their scores.  Used pieces leave the lists from time to time.  What room is left then goes
 to the largest pieces that fit.
 """
 
@@ -23,7 +24,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import compress, repeat
+from itertools import chain, compress, repeat
 from operator import is_
 
 import numpy as np
@@ -33,15 +34,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import row_id, table, user_id
+from pageloom.llm.common import LOWER, NOT_SPACE, byte_set, chunks, find_words, row_id, table, user_id
 from pageloom.skew import checkpoint
 
 WINDOW, END_ID = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
 #: punctuation that is a token of its own after letters
 TAILS = ".,;:!?"
-#: words of a generation; a task remembers two generations
-CACHE = 700_000
+IS_TAIL, IS_LETTER = byte_set(TAILS.encode()), byte_set(range(0x61, 0x7B))
+#: words of a generation; a worker remembers two generations (some 200 bytes each)
+CACHE = 350_000
+#: texts by which the shortcut over words is tested when a tokenizer is loaded
+PROBES = ["Two  Words,\n\tthree; it's 12.5% (of) x_y!?", "ÉCOLE Straße e\u0301 漢字, 😀. \u00a0x", " \u200b end", "", "a.b ,c ..."]
 #: bytes of text tokenized together
 PART = 4 << 20
 #: pieces searched together
@@ -63,6 +67,7 @@ class Ids:
     White space never survives this tokenizer, so the ids of a text are those of
     its words, one after another.  It lowers its input and parts letters from a
     punctuation mark after them, so ``Word,`` is looked up as ``word`` and ``,``.
+    Another kind of tokenizer is told by ``PROBES`` and reads whole texts.
     """
 
     def __init__(self, path: str):
@@ -72,7 +77,11 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.tails = dict(zip(TAILS.encode(), self._one_by_one([bytes([c]) for c in TAILS.encode()])))
+        self.whole = False
+        want = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tolist() for t in PROBES]
+        ids, at = self.of(pa.array(PROBES))
+        self.whole = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] != want
+        self.known, self.old = {}, {}
 
     def _one_by_one(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
@@ -93,34 +102,21 @@ class Ids:
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, new: set[bytes]) -> None:
-        known, old, tails = self.known, self.old, self.tails
-        parts, plain, letters, others = [], set(), set(), set()
+        known, old = self.known, self.old
+        plain, letters, others = [], [], []
         for word in new:
-            ids = old.get(word) if word else b""  # white space at an end leaves an empty word
+            ids = old.get(word)
             if ids is not None:
                 known[word] = ids
-                continue
-            base, tail = (word[:-1], tails[word[-1]]) if word[-1] in tails else (word, b"")
-            if not base.isalpha():  # more than ASCII letters
-                text = base.decode()
-                if not (text.isalpha() and text.lower().isalpha()):
-                    others.add(word)
-                    continue
-            base = base.lower()
-            parts.append((word, base, tail))
-            if base in known:
-                continue
-            ids = old.get(base)
-            if ids is None:
-                (plain if base.isalpha() else letters).add(base)
+            elif word.isalpha():
+                plain.append(word)
             else:
-                known[base] = ids
-        for group, encode, size in ((list(plain), self._plain, 4096), (list(letters), self._together, 128), (list(others), self._one_by_one, 4096)):
+                text = word.decode()
+                (letters if text.isalpha() and text.lower().isalpha() else others).append(word)
+        for group, encode, size in ((plain, self._plain, 4096), (letters, self._together, 128), (others, self._one_by_one, 4096)):
             for lo in range(0, len(group), size):
                 some = group[lo:lo + size]
                 known.update(zip(some, encode(some)))
-        for word, base, tail in parts:
-            known[word] = known[base] + tail
 
     def _of_words(self, words: list[bytes]) -> list[bytes]:
         found = list(map(self.known.get, words))
@@ -135,16 +131,37 @@ class Ids:
 
         Each different word is looked up once a call; its ids are then copied to their places.
         """
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
-        each = self._of_words(coded.dictionary.cast(pa.binary()).to_pylist())
-        copied = pa.array(each, pa.large_binary()).take(coded.indices)
-        if not len(copied):
+        if self.whole:
+            found = self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            sizes = [len(e.ids) for e in found]
+            return np.fromiter(chain.from_iterable(e.ids for e in found), "<u4", sum(sizes)), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        data, ends, first = _words(texts)
+        if not len(ends):
             return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(ends), [
+            None, pa.py_buffer(np.concatenate(([0], ends))), pa.py_buffer(data)]).dictionary_encode()
+        copied = pa.array(self._of_words(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
         _, ends, data = copied.buffers()
         end = np.frombuffer(ends, np.int64)[:len(copied) + 1] // 4
-        offsets = split.offsets.to_numpy()
-        return np.frombuffer(data, "<u4")[:end[-1]], end[offsets - offsets[0]]
+        return np.frombuffer(data, "<u4")[:end[-1]], end[first]
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts one after another, lower-cased (A-Z), where each ends, and the first word of each text.
+
+    A punctuation mark at the end of a word, after an ASCII letter, is a word of its own.
+    """
+    (_, _, buf, offs), = chunks(texts, max(1, texts.nbytes))
+    buf = LOWER[buf]
+    starts, ends, first = find_words(buf, offs, NOT_SPACE)
+    last = np.maximum(ends - 2, starts)
+    parted = (ends - starts > 1) & IS_TAIL[buf[ends - 1]] & IS_LETTER[buf[last]] if len(ends) else np.zeros(0, bool)
+    size = ends - starts
+    # two words in place of one: the second is the mark
+    sizes = np.repeat(size - parted, 1 + parted)
+    sizes[np.cumsum(1 + parted)[parted] - 1] = 1
+    before = np.concatenate(([0], np.cumsum(1 + parted)))
+    return buf[NOT_SPACE[buf]], np.cumsum(sizes), before[first]
 
 
 @cache
@@ -236,6 +253,50 @@ def _signs(model: Bm25) -> Callable:
     return run
 
 
+class Inverted:
+    """Posting lists of the pieces of a shard: a term's pieces in order of their length, with their weights.
+
+    Pieces are numbered by length, so those that fit in a window stand first in every list.
+    """
+
+    def __init__(self, weighed: list[tuple[np.ndarray, np.ndarray] | None], lengths: np.ndarray):
+        held = [i for i, w in enumerate(weighed) if w is not None]
+        self.piece = np.array(sorted(held, key=lambda i: (lengths[i], i)), np.int64)
+        self.size = lengths[self.piece]
+        none = np.zeros(0, np.int64)
+        term = np.concatenate([none, *(weighed[i][0] for i in self.piece)])
+        number = np.repeat(np.arange(len(self.piece)), [len(weighed[i][0]) for i in self.piece])
+        order = np.argsort(term, kind="stable")
+        self.term, self.number = term[order], number[order]
+        self.weight = np.concatenate([none.astype(float), *(weighed[i][1] for i in self.piece)])[order]
+        self._places()
+
+    def _places(self) -> None:
+        # one number for a place in a list
+        self.place = self.term * (len(self.piece) + 1) + self.number
+
+    def keep(self, free: np.ndarray) -> None:
+        """Take out pieces that are no longer free, once they are many."""
+        left = free[self.piece]
+        if np.count_nonzero(left) >= 0.7 * len(left):
+            return
+        renumbered, some = np.cumsum(left) - 1, left[self.number]
+        self.term, self.number, self.weight = self.term[some], renumbered[self.number[some]], self.weight[some]
+        self.piece, self.size = self.piece[left], self.size[left]
+        self._places()
+
+    def neighbours(self, terms: np.ndarray, room: int, free: np.ndarray) -> np.ndarray:
+        """Free pieces of at most ``room`` that share a term, in the order of their scores."""
+        fit, step = int(np.searchsorted(self.size, room, "right")), len(self.piece) + 1
+        if not fit:
+            return self.piece[:0]
+        lists = list(map(slice, np.searchsorted(self.place, terms * step).tolist(), np.searchsorted(self.place, terms * step + fit).tolist()))
+        number, weight = (np.concatenate([x[part] for part in lists]) for x in (self.number, self.weight))
+        score = np.bincount(number, weight, fit)
+        some = np.flatnonzero((score > 0) & free[self.piece[:fit]])
+        return self.piece[some[np.lexsort((self.piece[some], -score[some]))]]
+
+
 def pack_shard(lengths: list[int], packed: list[np.ndarray | None], model: Bm25, window: int) -> list[list[int]]:
     """Groups of piece numbers, each at most a window long."""
     n = len(lengths)
@@ -251,17 +312,7 @@ def pack_shard(lengths: list[int], packed: list[np.ndarray | None], model: Bm25,
         free[i] = False
         have[lengths[i]] -= 1
 
-    def index(docs: list[int]) -> tuple[np.ndarray, ...]:
-        """Pieces, where the terms of each begin, terms and weights."""
-        sizes = [len(weighed[i][0]) for i in docs]
-        at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        empty = np.zeros(0, np.int64)
-        return (np.array(docs, np.int64), at, np.concatenate([empty, *(weighed[i][0] for i in docs)]),
-                np.concatenate([empty.astype(float), *(weighed[i][1] for i in docs)]))
-
-    # by length, so that the pieces that fit come first
-    docs, at, term, weight = index(sorted((i for i, w in enumerate(weighed) if w is not None), key=lambda i: (lengths[i], i)))
-    asked = np.zeros(int(term.max()) + 1 if len(term) else 1, bool)
+    index = Inverted(weighed, size)
     groups = []
     for seed in sorted(range(n), key=lambda i: (-lengths[i], i)):
         if not free[seed]:
@@ -269,24 +320,17 @@ def pack_shard(lengths: list[int], packed: list[np.ndarray | None], model: Bm25,
         take(seed)
         group, room = [seed], window - lengths[seed]
         if room and weighed[seed] is not None:
-            if np.count_nonzero(free[docs]) < 0.7 * len(docs):
-                docs, at, term, weight = index(docs[free[docs]].tolist())
-            k = int(np.searchsorted(size[docs], room, "right"))
-            if k:
-                asked[weighed[seed][0]] = True
-                score = np.add.reduceat(weight[:at[k]] * asked[term[:at[k]]], at[:k])
-                asked[weighed[seed][0]] = False
-                some = np.flatnonzero((score > 0) & free[docs[:k]])
-                near = docs[some][np.lexsort((docs[some], -score[some]))]
-                while room:
-                    fits = size[near] <= room
-                    if not fits.any():
-                        break
-                    first = int(fits.argmax())
-                    i, near = int(near[first]), near[first + 1:]
-                    take(i)
-                    group.append(i)
-                    room -= lengths[i]
+            index.keep(free)
+            near = index.neighbours(weighed[seed][0], room, free)
+            while room:
+                fits = size[near] <= room
+                if not fits.any():
+                    break
+                first = int(fits.argmax())
+                i, near = int(near[first]), near[first + 1:]
+                take(i)
+                group.append(i)
+                room -= lengths[i]
         while room:
             fits = np.flatnonzero(have[:room + 1])
             if not len(fits):

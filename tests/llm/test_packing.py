@@ -59,3 +59,17 @@ def test_statistics_count_every_piece(spark, monkeypatch):
     (frequency, pieces, mean), = made
     assert len(rows) == pieces == 6 and mean == pytest.approx(sum(r.length for r in rows) / 6)
     assert frequency.max() == 5  # "word", in each piece of the long document
+
+
+def test_other_tokenizers_read_whole_texts():
+    """White space is a token there, so words do not give the ids of texts."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    for name, whole in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        ids = packing.Ids(public_tokenizers.path(name))
+        assert ids.whole is whole
+        texts = ["Some words,  and\nmore", None, "", "漢字 é"]
+        got, at = ids.of(pa.array(texts))
+        assert [got[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [
+            ids.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
