@@ -162,8 +162,9 @@ def drop_repeated_lines(
     rest = [F.col(c).alias(f"_keep_{c}") for c in keep]
     rows = docs.select(row_id().alias("_id"), F.xxhash64(text).alias("_tag"), "text", *rest).join(
         gone, ["_id", "_tag"], "left").drop("_tag")
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.drop("text", "gone").dtypes)
-    done = rows.mapInArrow(_drop, f"{kinds}, n_lines long, n_dropped long, kept_text string")
+    kinds = rows.drop("text", "gone").select("*", *(F.lit(None).cast(t).alias(n) for n, t in (
+        ("n_lines", "long"), ("n_dropped", "long"), ("kept_text", "string")))).schema
+    done = rows.mapInArrow(_drop, kinds)
     return done.select(
         user_id("_id").alias("doc_id"), "n_lines", "n_dropped", "kept_text", *[F.col(f"_keep_{c}").alias(c) for c in keep])
 

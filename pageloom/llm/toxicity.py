@@ -150,8 +150,7 @@ def score(docs: DataFrame, weights: np.ndarray, columns: tuple[str, ...] = ("doc
     """
     at = np.flatnonzero(weights)
     picked = docs.select(*dict.fromkeys([*columns, "text"]))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in picked.dtypes)
-    return picked.mapInArrow(_score(at, weights[at]), f"{kinds}, _score double").select(*columns, "_score")
+    return picked.mapInArrow(_score(at, weights[at]), picked.withColumn("_score", F.lit(0.0)).schema).select(*columns, "_score")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

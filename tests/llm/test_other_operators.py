@@ -14,6 +14,7 @@ from oracle import compare, connect
 from pageloom.llm import chat, toxicity, vectors
 from pageloom.llm.queries import ORACLE, QUERIES
 from tests.llm.conftest import edge_rows
+from tests.llm.test_jaccard import want_components
 from tests.llm.test_text_operators import brute_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -132,9 +133,7 @@ def test_pipeline(spark):
         elif name == "line_dedup":
             assert not gone and all(r.n_chars == len(r.text) for r in rows)
         elif name == "simhash_dedup":
-            from pageloom.llm.simhash import near_duplicates
-
-            assert gone == {r.doc_id for r in near_duplicates(docs).collect() if r.doc_id != r.component_id}
+            assert gone == {d for d, c in want_components(list(before.items())) if d != c}
         else:
             from pageloom.llm.decontaminate import contaminated
 
@@ -142,3 +141,25 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(rows, docs.schema)
     packed = corpus_pipeline.run(spark, SMALL)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls, repeated ids and rows, clashing columns and empty tables go through all stages."""
+    docs = spark.createDataFrame(edge_rows(), "doc_id long, text string").withColumns(
+        {"n_chars": F.length("text").cast("long"), "lang": F.lit("xx")} | {c: F.lit("clash") for c in (
+            "kept_text", "n_dropped", "n_lines", "_score", "_rest", "_id", "_tag", "a.b", "item_id", "toxic", "_gone", "node", "component_id")})
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for given in (docs, docs.where("false"), docs.select("text", "doc_id")):
+        held, left = given, given.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, held, str(tmp_path))
+            assert out.columns == given.columns and out.dtypes == given.dtypes, name
+            rows = out.collect()
+            assert len(rows) == left if name == "line_dedup" else len(rows) <= left
+            if name == "line_dedup" and "n_chars" in given.columns:
+                assert all(r.n_chars == (None if r.text is None else len(r.text)) or not r.text for r in rows)
+            held, left = spark.createDataFrame(rows, given.schema), len(rows)
+        packed = corpus_pipeline.packing(spark, held, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == held.select("doc_id").distinct().count()
+    assert left > 10
