@@ -27,7 +27,7 @@ from datetime import datetime, timedelta
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import table
@@ -45,6 +45,8 @@ RECORD_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-record")
 FIRST_DATE = datetime(2000, 1, 1)
 #: an archive is closed after this many bytes
 ARCHIVE_BYTES = 16 << 20
+#: partitions of archives, at most
+MOST_TASKS = 100_000
 READ_BYTES = 1 << 18
 
 
@@ -280,6 +282,21 @@ def _convert(arcs: str, warcs: str) -> Callable:
     return run
 
 
+def numbered(archives: DataFrame) -> DataFrame:
+    """archive, no: different archives, numbered from 0.  Names only: one for each ``ARCHIVE_BYTES`` of payload."""
+    names = archives.select("archive").distinct()
+    return checkpoint(names.withColumn("no", F.row_number().over(Window.orderBy("archive")) - 1))
+
+
+def dealt(names: DataFrame) -> DataFrame:
+    """Rows of numbered archives, an archive a partition (``MOST_TASKS`` at most): the names are few, the work behind them is not.
+
+    Archives are closed at ``ARCHIVE_BYTES``, so their number is the measure of the work.
+    """
+    tasks = min(MOST_TASKS, max(1, (names.agg(F.max("no")).first()[0] or 0) + 1))
+    return names.repartitionById(tasks, F.col("no").cast("int"))
+
+
 def convert(arc_index: DataFrame, arcs: str, warcs: str, least: int = 0) -> DataFrame:
     """Convert ARC archives; (archive, records) of the WARC archives.
 
@@ -292,7 +309,7 @@ def convert(arc_index: DataFrame, arcs: str, warcs: str, least: int = 0) -> Data
         (F.col("to.archive") != F.col("archive")) | (F.col("to.at") != F.col("at"))
     ).groupBy("archive").agg(F.collect_list(F.struct(
         "at", F.col("to.archive").alias("to_archive"), F.col("to.at").alias("to_at"))).alias("others"))
-    work = arc_index.select("archive").distinct().join(others, "archive", "left")
+    work = dealt(checkpoint(numbered(arc_index).join(others, "archive", "left"))).drop("no")
     return checkpoint(work.mapInArrow(_convert(arcs, warcs), "archive string, records long"))
 
 
@@ -328,26 +345,19 @@ _WARC_ROW = ("page_id long, payload_bytes long, payload_digest string, record_ty
              "refers_to_record string, uri string, date string")
 
 
-def _dealt(spark: SparkSession, archives: DataFrame) -> DataFrame:
-    """Archives one by one over the cores: the names are few, the work behind them is not."""
-    return archives.select("archive").distinct().repartition(
-        max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "archive")
-
-
 def warc_from_pages(pages: DataFrame) -> DataFrame:
     """Pages -> ARC -> WARC -> records read back, one row per page row.
 
     Null html is an empty payload, a null or odd url is percent-encoded (``-`` if
     empty), repeated page ids are separate records, other columns are ignored.
     """
-    spark = pages.sparkSession
-    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
     arcs, warcs = f"{folder}/arc", f"{folder}/warc"
     written = write_arc(pages, arcs)
-    index = checkpoint(_dealt(spark, written).mapInArrow(
+    index = checkpoint(dealt(numbered(written)).select("archive").mapInArrow(
         _index(arcs), "archive string, at long, page_id long, digest string, bytes long"))
     converted = convert(index, arcs, warcs)
-    back = checkpoint(_dealt(spark, converted).mapInArrow(_read_warc(warcs), _WARC_ROW))
+    back = checkpoint(dealt(numbered(converted)).select("archive").mapInArrow(_read_warc(warcs), _WARC_ROW))
     # only responses that something refers to: one row per group of copies
     wanted = back.where("refers_to_record is not null").select(F.col("refers_to_record").alias("record_id")).distinct()
     targets = back.join(wanted, "record_id", "left_semi").select(

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pageloom.llm import packing, simhash, surrogates
+from pageloom.llm import archives, packing, simhash, surrogates
 from pageloom.llm.archives import parse_arc, arc_head, arc_record, warc_from_pages
 from pageloom.llm.decontaminate import contaminated
 from pageloom.llm.lines import LineIndex, drop_repeated_lines
@@ -178,6 +178,14 @@ def test_archives(spark):
     assert warc_from_pages(pages.where("false")).count() == 0
 
 
+def test_archives_are_dealt(spark):
+    """Every archive is a task of its own, however few and small the rows that name them."""
+    names = archives.numbered(spark.createDataFrame([(f"a{i % 9}",) for i in range(30)], "archive string"))
+    tasks = archives.dealt(names).select("archive", F.spark_partition_id().alias("task")).collect()
+    assert len({r.archive for r in tasks}) == len(tasks) == len({r.task for r in tasks}) == 9
+    assert archives.dealt(names.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_lines(version):
     block = b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256))
