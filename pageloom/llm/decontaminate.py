@@ -14,7 +14,9 @@ prefix.
 3. The shingles of the runs are counted over all documents, each window's
    rarest one is its prefix, and runs join windows on the prefix only.  Bounds
    on length and position leave one possible place per prefix occurrence; the
-   words there are compared exactly.
+   words there are compared exactly.  Shingles travel with the key of their run and
+   their position only; the words of a run are read once, beside the list of its
+   possible places, so a long run costs in proportion to its length.
 4. Hit words are the union of the places; results go back to the documents.
 
 Defined results: null or empty texts have no words and are clean; items without
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import (
-    LOWER, WORD_BYTES, WordHash, chunks, find_words, inside_rows, row_id, table, user_id, window_hash,
+    LOWER, WORD_BYTES, WordHash, chunks, find_words, inside_rows, row_id, stored, table, user_id, window_hash,
 )
 from pageloom.skew import checkpoint
 
@@ -134,11 +136,11 @@ def _shingles(array: F.Column, length: F.Column) -> F.Column:
 
 def _covered(places: DataFrame) -> DataFrame:
     """Words under the union of the places [start, stop) of each run."""
-    sofar = Window.partitionBy("run").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    ends = places.groupBy("run", "start").agg(F.max("stop").alias("stop")).withColumn(
+    sofar = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ends = places.groupBy("key", "start").agg(F.max("stop").alias("stop")).withColumn(
         "before", F.coalesce(F.max("stop").over(sofar), F.lit(0)))
     new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "before"))
-    return ends.groupBy("run").agg(F.sum(new).cast("long").alias("n"))
+    return ends.groupBy("key").agg(F.sum(new).cast("long").alias("n"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -163,13 +165,13 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
     # shingle sizes in use: 1 to SHINGLE
     sizes = tuple(sorted(int(r.q) for r in windows.select(F.least("len", F.lit(SHINGLE)).alias("q")).distinct().collect()))
 
-    found = checkpoint(docs.select(row_id().alias("_id"), "text").mapInArrow(
+    found = stored(docs.select(row_id().alias("_id"), "text").mapInArrow(
         _find_runs(known, sizes), "_id long, n_words long, runs array<string>"))
-    doc_runs = found.select("_id", F.explode("runs").alias("run"))
-    runs = doc_runs.groupBy("run").agg(F.count(F.lit(1)).alias("docs")).withColumn("w", F.split("run", " "))
-    places_of = runs.withColumn("n", F.size("w")).withColumn("q", F.explode(F.array(*[F.lit(q) for q in sizes or (1,)])))
-    run_shingles = places_of.where("n >= q").select(
-        "run", "docs", "n", "w",
+    doc_runs = found.select("_id", F.explode("runs").alias("run")).select("_id", F.md5("run").alias("key"), "run")
+    runs = stored(doc_runs.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.first("run").alias("run")))
+    split = runs.select("key", "docs", F.split("run", " ").alias("w")).withColumn("n", F.size("w"))
+    run_shingles = split.withColumn("q", F.explode(F.array(*[F.lit(q) for q in sizes or (1,)]))).where("n >= q").select(
+        "key", "docs", "n",
         F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1),
                                  lambda i: F.array_join(F.slice("w", i, F.col("q")), " "))).alias("at", "shingle"))
 
@@ -180,16 +182,17 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
     ).where("have = len - least(len, %d) + 1" % SHINGLE).select(
         "words", "len", F.col("p.shingle").alias("shingle"), F.col("p.offset").alias("offset"))
     start = F.col("at") - F.col("offset")
-    places = run_shingles.join(prefix, "shingle").withColumn("start", start).where(
+    possible = run_shingles.join(prefix, "shingle").withColumn("start", start).where(
         (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))
-        & (F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ") == F.col("words"))
-    ).select("run", "words", "start", (F.col("start") + F.col("len")).alias("stop"))
-    places = checkpoint(places)
+    ).groupBy("key").agg(F.collect_list(F.struct("start", "len", "words")).alias("places"))
+    held = F.filter("places", lambda p: F.array_join(F.slice("w", p["start"] + 1, p["len"]), " ") == p["words"])
+    places = stored(possible.join(split.select("key", "w"), "key").select("key", F.explode(held).alias("p")).select(
+        "key", "p.words", "p.start", (F.col("p.start") + F.col("p.len")).alias("stop")))
 
-    names = places.select("run", "words").distinct().join(windows.select("words", "item_id").distinct(), "words")
+    names = places.select("key", "words").distinct().join(windows.select("words", "item_id").distinct(), "words")
     verdict = _covered(places).join(
-        names.groupBy("run").agg(F.collect_set("item_id").alias("items")), "run")
-    per_doc = doc_runs.join(verdict, "run")
+        names.groupBy("key").agg(F.collect_set("item_id").alias("items")), "key")
+    per_doc = doc_runs.select("_id", "key").join(verdict, "key")
     sums = per_doc.groupBy("_id").agg(
         F.sum("n").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     counts = found.groupBy("_id").agg(F.sum("n_words").alias("n_words"))

@@ -268,3 +268,13 @@ def test_ids_of_words():
     want = [b"".join(i.to_bytes(4, "little") for i in t.encode(x, add_special_tokens=False).ids) for x in texts]
     ids, at = packing.Ids(packing.vocabulary_path()).of(pa.array([*texts, None]))
     assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == [*want, b""]
+
+
+def test_long_benchmark_item(spark):
+    """An item of 8,000 words inside a text of 20,000: every word of it is hit, none beside it."""
+    item = " ".join(f"i{i}" for i in range(8_000))
+    text = " ".join([*(f"a{i}" for i in range(7_000)), item, *(f"b{i}" for i in range(5_000))])
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([("long", item), ("tail", " ".join(f"i{i}" for i in range(7_990, 8_000)))], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in contaminated(docs, items).collect()}
+    assert got == {1: (20_000, 8_000, ["long", "tail"]), 2: (20_000, 8_000, ["long", "tail"]), 3: (2, 0, [])}
