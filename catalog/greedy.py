@@ -6,6 +6,7 @@ query, which is how these rules are defined.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import sqltext as S
@@ -65,17 +66,14 @@ def _(t):
     return G.ocr_clusters(t.regions, profile=pairs(t)).select("region_id", "component")
 
 
-@query("connected_components", """, s AS (SELECT o_custkey AS a, o_custkey + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 3 > 0),
- y AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
- reach AS (SELECT a, b FROM y UNION SELECT r.a, y.b FROM reach r JOIN y ON y.a = r.b)
- SELECT a AS node, min(least(a, b)) AS component FROM reach GROUP BY a""")
+@query("connected_components", """SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component
+ FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1""")
 def _(t):
-    """The distributed form, on customer chains over the whole order table."""
+    """The distributed form, on the chain of every customer's orders by date: the whole order table."""
     from pageloom.operators.graph import connected_components
-    edges = t.orders.where("o_orderkey % 7 = 0 AND o_orderkey % 3 > 0").select(
-        F.col("o_custkey").alias("a"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("b")
-    )
-    return connected_components(edges)
+    by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    edges = t.orders.select(F.col("o_orderkey").alias("a"), F.lag("o_orderkey").over(by_date).alias("b"))
+    return connected_components(edges.where("b is not null"))
 
 
 LABELLED = _components(DUPLICATE, "v").replace("SELECT n.region_id, coalesce", ", lab AS (SELECT n.*, coalesce", 1) + ")"

@@ -16,13 +16,11 @@ CROSS = "least(a.x2,b.x2) > greatest(a.x1,b.x1) AND least(a.y2,b.y2) > greatest(
 
 
 def pages_of(t):
-    return add_hierarchy(t._paged_lines.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))).where(
-        (F.col("page_id") % 11 != 0)
-    )
+    return add_hierarchy(t._paged_lines.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
 
 
 PAGES = """, pg AS (SELECT DISTINCT page_id, CAST(floor(page_id/12) AS BIGINT) AS chapter_id, page_id % 12 + 1 AS page_no
-  FROM paged WHERE page_id % 11 <> 0),
+  FROM paged),
  nb AS (SELECT page_id, chapter_id, page_no, lag(page_id) OVER w AS prev_page, lead(page_id) OVER w AS next_page
    FROM pg WINDOW w AS (PARTITION BY chapter_id ORDER BY page_no, page_id))
 """
@@ -90,14 +88,14 @@ def _(t):
     return J.edge_group_candidates(bottom, top)
 
 
-# containers: every region grown to three times its size, one in seven lines
+# containers: every region grown on all sides
 CONTAINERS = """, cont AS (SELECT page_id, region_id AS container_id, x1 - 30 AS x1, y1 - 20 AS y1, x2 + 30 AS x2, y2 + 20 AS y2
-  FROM lines WHERE pos % 7 = 1)
+  FROM lines)
 """
 
 
 def containers(t):
-    return t.lines.where("pos % 7 = 1").select(
+    return t.lines.select(
         "page_id", F.col("region_id").alias("container_id"), (F.col("x1") - 30).alias("x1"),
         (F.col("y1") - 20).alias("y1"), (F.col("x2") + 30).alias("x2"), (F.col("y2") + 20).alias("y2"),
     )
@@ -114,13 +112,13 @@ def _(t):
     return J.assign_container(t.lines, containers(t))
 
 
-@query("assign_component", f""", comp AS (SELECT page_id, region_id AS component_id, x1 + 40 AS x1, y1 - 60 AS y1, x2 + 10 AS x2, y2 - 10 AS y2 FROM lines WHERE pos % 3 = 0),
+@query("assign_component", f""", comp AS (SELECT page_id, region_id AS component_id, x1 + 40 AS x1, y1 - 60 AS y1, x2 + 10 AS x2, y2 - 10 AS y2 FROM lines),
  c AS (SELECT a.component_id, b.region_id, {INTER} AS inter, b.pos, greatest(1, {AREA.format('a')}) AS area
   FROM comp a JOIN lines b ON a.page_id = b.page_id AND {CROSS}),
  k AS (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY inter DESC, pos) AS rn FROM c)
  SELECT comp.page_id, comp.component_id, k.region_id FROM comp LEFT JOIN k ON k.component_id = comp.component_id AND rn = 1 AND inter/area >= 0.02""", ("lines",))
 def _(t):
-    comp = t.lines.where("pos % 3 = 0").select(
+    comp = t.lines.select(
         "page_id", F.col("region_id").alias("component_id"), (F.col("x1") + 40).alias("x1"),
         (F.col("y1") - 60).alias("y1"), (F.col("x2") + 10).alias("x2"), (F.col("y2") - 10).alias("y2"),
     )
@@ -172,17 +170,17 @@ def _(t):
     return J.latest_per_key(files, ["stem"], "mtime", "name", ["name", "mtime"])
 
 
-CARRY = """, rows_ AS (SELECT region_id, 'c' || (region_id % 700) AS pair_id FROM lines WHERE pos % 4 = 0),
- car AS (SELECT 'c' || (o_custkey % 900) AS pair_id, 'text ' || o_orderkey AS bottom_text, o_orderkey AS created_at FROM orders WHERE o_custkey % 2 = 0),
+CARRY = """, rows_ AS (SELECT region_id, 'c' || (region_id % 700) AS pair_id FROM lines),
+ car AS (SELECT 'c' || (o_custkey % 900) AS pair_id, 'text ' || o_orderkey AS bottom_text, o_orderkey AS created_at FROM orders),
  newest AS (SELECT pair_id, arg_max(bottom_text, created_at) AS carried_text FROM car GROUP BY 1)
 """
 
 
 def carry(t):
-    rows = t.lines.where("pos % 4 = 0").select(
+    rows = t.lines.select(
         "region_id", F.concat(F.lit("c"), (F.col("region_id") % 700).cast("string")).alias("pair_id")
     )
-    carried = t.orders.where("o_custkey % 2 = 0").select(
+    carried = t.orders.select(
         F.concat(F.lit("c"), (F.col("o_custkey") % 900).cast("string")).alias("pair_id"),
         F.concat(F.lit("text "), F.col("o_orderkey").cast("string")).alias("bottom_text"),
         F.col("o_orderkey").alias("created_at"),

@@ -78,7 +78,7 @@ def with_views(sql: str, *views: str) -> str:
         body = f"{head}\n{body}"
     else:
         return body
-    return f"WITH RECURSIVE {body}"
+    return f"WITH {'RECURSIVE ' if 'UNION' in sql else ''}{body}"
 
 
 def query(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):

@@ -84,7 +84,7 @@ def _(t):
 
 @query("page_status", """, r AS (SELECT page_id, count(*) AS n, count(*) FILTER (region_id % 301 = 0) AS retranslate,
      count(*) FILTER (0.35::DOUBLE*confidence + 0.475::DOUBLE < 0.7) AS low_quality, count(*) FILTER (confidence < 0.6) AS low_ocr
-   FROM lines WHERE page_id % 13 <> 0 GROUP BY page_id),
+   FROM lines GROUP BY page_id),
  p AS (SELECT page_id, page_id % 6 <> 0 AS has_report, page_id % 17 <> 0 AS valid, has_output FROM page_facts),
  j AS (SELECT p.*, has_report AND valid AS rd, CASE WHEN has_report AND valid THEN coalesce(n, 0) ELSE 0 END AS n2, retranslate, low_quality, low_ocr FROM p LEFT JOIN r USING (page_id)),
  k AS (SELECT page_id, has_report, valid, has_output, n2, CASE WHEN n2 > 0 THEN retranslate ELSE 0 END AS retranslate,
@@ -95,7 +95,7 @@ def _(t):
      WHEN retranslate > 0 OR low_quality/greatest(n2,1) >= 0.3 THEN 'quality' WHEN has_output THEN 'ok' ELSE 'no_output' END AS reason,
    retranslate, low_quality, low_ocr FROM k""", ("lines", "page_facts"))
 def _(t):
-    rows = t.lines.where("page_id % 13 <> 0").select(
+    rows = t.lines.select(
         "page_id", "confidence", (F.lit(0.35) * F.col("confidence") + F.lit(0.475)).alias("quality_score"),
         F.when(F.col("region_id") % 301 == 0, F.array(F.lit("retranslate"))).otherwise(F.array(F.lit("retry_translation"))).alias("recommendations"),
     )
@@ -107,14 +107,14 @@ def _(t):
 
 
 @query("chapter_summary", FLAGS + """, j AS (SELECT f.*, coalesce(failed_regions, 0) > 0 AS bad, coalesce(region_count, 0) AS n
-    FROM page_facts f LEFT JOIN (SELECT * FROM flags WHERE page_id % 9 <> 0) USING (page_id)),
+    FROM page_facts f LEFT JOIN flags USING (page_id)),
   c AS (SELECT chapter_id, count(*) AS total_count, count(*) FILTER (ok AND has_output AND NOT bad AND n > 0) AS success_count,
    count(*) FILTER (ok) AS pipeline_success_count, count(*) FILTER (NOT ok) AS failed_pipeline_count, count(*) FILTER (bad) AS failed_translation_count,
    count(*) FILTER (n = 0) AS failed_ocr_empty_count, count(*) FILTER (has_output) AS saved_count FROM j GROUP BY chapter_id)
  SELECT *, total_count - success_count AS failed_count,
    CASE WHEN success_count = 0 THEN 'error' WHEN total_count > success_count THEN 'partial' ELSE 'success' END AS status FROM c""", ("regions", "page_facts"))
 def _(t):
-    flags = R.page_flags(t.regions.where("page_id % 9 <> 0"))
+    flags = R.page_flags(t.regions)
     return R.chapter_summary(t.page_facts, flags)
 
 
@@ -126,9 +126,9 @@ def _(t):
 
 
 @query("library_listing", """, im AS (SELECT DISTINCT 's' || series_id AS series, 'c' || lpad(chapter_id::VARCHAR, 9, '0') AS chapter, lpad(page_no::VARCHAR, 3, '0') || '.jpg' AS name
-     FROM page_facts WHERE page_id % 5 <> 0 AND series_id % 4 <> 0),
+     FROM page_facts),
   fo AS (SELECT DISTINCT 's' || series_id AS series, 'c' || lpad(chapter_id::VARCHAR, 9, '0') AS chapter FROM page_facts),
-  co AS (SELECT 's' || (c_custkey % 40) AS series, 'cache/' || c_custkey || '.png' AS cover, c_custkey % 77 AS mtime FROM customer WHERE c_custkey % 40 % 3 = 0),
+  co AS (SELECT 's' || (c_custkey % 40) AS series, 'cache/' || c_custkey || '.png' AS cover, c_custkey % 77 AS mtime FROM customer),
   fi AS (SELECT series, min(series || '/' || chapter || '/' || name) AS first_image FROM im GROUP BY 1),
   ca AS (SELECT series, cover FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY mtime DESC, cover DESC) rn FROM co) WHERE rn = 1)
  SELECT fo.series, coalesce(any_value(cover), any_value(first_image)) AS cover, count(DISTINCT chapter) AS chapter_count
@@ -137,10 +137,10 @@ def _(t):
     name = lambda p, c, n: F.concat(F.lit(p), F.lpad(F.col(c).cast("string"), n, "0"))
     series = F.concat(F.lit("s"), F.col("series_id").cast("string")).alias("series")
     folders = t.page_facts.select(series, name("c", "chapter_id", 9).alias("chapter")).distinct()
-    images = t.page_facts.where("page_id % 5 <> 0 AND series_id % 4 <> 0").select(
+    images = t.page_facts.select(
         series, name("c", "chapter_id", 9).alias("chapter"), F.concat(F.lpad(F.col("page_no").cast("string"), 3, "0"), F.lit(".jpg")).alias("name")
     )
-    covers = t.customer.where("c_custkey % 40 % 3 = 0").select(
+    covers = t.customer.select(
         F.concat(F.lit("s"), (F.col("c_custkey") % 40).cast("string")).alias("series"),
         F.concat(F.lit("cache/"), F.col("c_custkey").cast("string"), F.lit(".png")).alias("cover"),
         (F.col("c_custkey") % 77).alias("mtime"),

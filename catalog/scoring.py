@@ -221,14 +221,14 @@ def _(t):
     return B.crosspage_combine(paired, groups)
 
 
-@query("combine_passes", """SELECT region_id, x1, y1, x2, y2 FROM lines UNION ALL SELECT region_id, CAST(trunc(x1/1.5) AS INT), CAST(trunc(y1/1.5) AS INT), CAST(trunc(x2/1.5) AS INT), CAST(trunc(y2/1.5) AS INT) FROM lines WHERE pos % 3 = 0""", ("lines",))
+@query("combine_passes", """SELECT region_id, x1, y1, x2, y2 FROM lines UNION ALL SELECT region_id, CAST(trunc(x1/1.5) AS INT), CAST(trunc(y1/1.5) AS INT), CAST(trunc(x2/1.5) AS INT), CAST(trunc(y2/1.5) AS INT) FROM lines""", ("lines",))
 def _(t):
-    return B.combine_passes(t.lines, (t.lines.where("pos % 3 = 0"), 1.5)).select("region_id", "x1", "y1", "x2", "y2")
+    return B.combine_passes(t.lines, (t.lines, 1.5)).select("region_id", "x1", "y1", "x2", "y2")
 
 
-@query("merge_results", """SELECT region_id, CASE WHEN pos % 4 <> 0 THEN coalesce(target_text, '') ELSE '' END AS reply FROM regions""", ("regions",))
+@query("merge_results", """SELECT region_id, coalesce(target_text, '') AS reply FROM regions""", ("regions",))
 def _(t):
-    results = t.regions.where("pos % 4 <> 0").select("region_id", F.col("target_text").alias("reply"))
+    results = t.regions.where("target_text is not null").select("region_id", F.col("target_text").alias("reply"))
     return B.merge_results(t.regions.select("region_id"), results, ["region_id"])
 
 

@@ -209,7 +209,7 @@ def _(t):
     return M.second_reading_requests(M.needs_second_reading(M.group_facts(_groups(t), keys), 2000), keys)
 
 
-@query("rescan_flag", """SELECT page_id, count(r.region_id) < 4 OR coalesce(avg(confidence), 0.5) < 0.5 AS rescan
-  FROM page_facts LEFT JOIN (SELECT * FROM lines WHERE pos % 3 = 0 AND page_id % 8 <> 0) r USING (page_id) GROUP BY page_id""", ("lines", "page_facts"))
+@query("rescan_flag", """SELECT page_id, count(r.region_id) < 4 OR coalesce(round(avg(confidence), 9), 0.5) < 0.5 AS rescan
+  FROM page_facts LEFT JOIN lines r USING (page_id) GROUP BY page_id""", ("lines", "page_facts"))
 def _(t):
-    return M.rescan_flag(t.page_facts, t.lines.where("pos % 3 = 0 AND page_id % 8 <> 0"), 4, 0.5)
+    return M.rescan_flag(t.page_facts, t.lines, 4, 0.5)

@@ -209,8 +209,11 @@ def second_reading_requests(facts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rescan_flag(pages: DataFrame, regions: DataFrame, min_regions: int = 4, min_confidence: float = 0.6) -> DataFrame:
-    """Pages with few or unsure regions should be read again at a larger scale."""
-    facts = regions.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"), F.avg("confidence").alias("_c"))
+    """Pages with few or unsure regions should be read again at a larger scale.
+
+    The mean is rounded, so that the order of summation does not decide at the limit.
+    """
+    facts = regions.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"), F.round(F.avg("confidence"), 9).alias("_c"))
     few = F.coalesce("_n", F.lit(0)) < min_regions
     return pages.select("page_id").join(facts, "page_id", "left").select(
         "page_id", (few | (F.coalesce("_c", F.lit(0.5)) < min_confidence)).alias("rescan")
