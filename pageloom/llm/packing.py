@@ -43,11 +43,11 @@ VOCABULARY = "word_bpe_49k.json"
 TAILS = ".,;:!?"
 IS_TAIL, IS_LETTER = byte_set(TAILS.encode()), byte_set(range(0x61, 0x7B))
 #: words of a generation; a worker remembers two generations (some 200 bytes each)
-CACHE = 500_000
+CACHE = 350_000
 #: texts by which the shortcut over words is tested when a tokenizer is loaded
 PROBES = ["Two  Words,\n\tthree; it's 12.5% (of) x_y!?", "ÉCOLE Straße e\u0301 漢字, 😀. \u00a0x", " \u200b end", "", "a.b ,c ..."]
 #: bytes of text tokenized together
-PART = 16 << 20
+PART = 4 << 20
 #: pieces searched together
 SHARD = 4_096
 K1, B = 1.2, 0.75
