@@ -26,18 +26,45 @@ def _(t):
     return H.extract_links(extract_nodes(t.spread("pages"))).select("page_id", "url")
 
 
-@query("article_fields")
+def unescaped(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+def squeezed(x: str) -> str:
+    return S.strip(f"regexp_replace({x}, '{S.WS}+', ' ', 'g')")
+
+
+# The best block of the given pages is their article or the advertisement before it.  A paragraph
+# that is never closed reaches to the end of the article and holds all of those after it.
+ARTICLES = f"""WITH p AS (SELECT page_id, {unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
+   {unescaped("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} AS ad,
+   regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS art FROM pages),
+ s AS (SELECT page_id, unnest(regexp_split_to_array(art, '<p>')) AS seg, generate_subscripts(regexp_split_to_array(art, '<p>'), 1) AS i FROM p),
+ x AS (SELECT page_id, i, contains(seg, '</p>') AS closed, {unescaped("regexp_replace(seg, '<[^>]*>', ' ', 'g')")} AS txt FROM s),
+ q AS (SELECT page_id, i, txt, {squeezed("CASE WHEN closed THEN txt ELSE rest END")} AS par FROM (
+   SELECT *, string_agg(txt, ' ') OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM x)),
+ a AS (SELECT page_id, {squeezed("string_agg(txt, ' ' ORDER BY i)")} AS body, count(*) FILTER (i > 1 AND par <> '') AS n,
+   list(par ORDER BY i) FILTER (i > 1 AND par <> '') AS pars FROM q GROUP BY 1),
+ m AS (SELECT page_id, {squeezed('title')} AS title, {S.strip('ad')} AS ad, length({squeezed('ad')}) AS ad_score, length(body) + 25 * n AS art_score,
+   CASE WHEN n > 0 THEN pars ELSE [body] END AS pars FROM a JOIN p USING (page_id)),
+ c AS (SELECT page_id, title, greatest(ad_score, art_score)::INT AS score, CASE WHEN ad_score >= art_score THEN [ad] ELSE pars END AS pars FROM m)
+"""
+
+
+@query("article_fields", ARTICLES + """SELECT page_id, nullif(title, '') AS title, NULL::VARCHAR AS author, NULL::VARCHAR AS date, NULL::VARCHAR AS cover,
+   CASE WHEN score > 0 THEN pars[1] END AS summary, CASE WHEN score > 0 THEN array_to_string(pars, chr(10) || chr(10)) END AS content_text,
+   CASE WHEN score > 0 THEN len(pars) ELSE 0 END::INT AS paragraphs FROM c""")
 def _(t):
-    out = H.article_fields(t.pages, extract_nodes(t.spread("pages")))
+    out = H.article_fields(extract_nodes(t.spread("pages")))
     return out.withColumn("paragraphs", F.size("paragraphs"))
 
 
 @query("article_titles", f"""SELECT page_id, {S.strip("regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '" + S.WS + "+', ' ', 'g')")} AS title FROM pages""")
 def _(t):
-    return H.article_fields(t.pages, extract_nodes(t.spread("pages"))).select("page_id", "title")
+    return H.article_fields(extract_nodes(t.spread("pages"))).select("page_id", "title")
 
 
-@query("main_content")
+@query("main_content", ARTICLES + """SELECT page_id, score, array_to_string(pars, chr(10) || chr(10)) AS content FROM c WHERE score > 0""")
 def _(t):
     return H.main_content(extract_nodes(t.spread("pages"))).select("page_id", "score", F.array_join("paragraphs", "\n\n").alias("content"))
 

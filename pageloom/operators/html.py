@@ -11,9 +11,6 @@ from pageloom.functions.urls import (
     infer_id_or_hash, infer_id_or_host, is_content_url, looks_like_challenge, normalize_url,
 )
 
-BIG = 1_000_000
-
-
 def _attr(name: str) -> Column:
     return F.try_element_at(F.col("attrs"), F.lit(name))
 
@@ -54,58 +51,104 @@ def _names_of(value: Column) -> Column:
     return F.when(kind == "[", F.concat_ws(", ", names)).otherwise(name(value))
 
 
-def jsonld_items(nodes: DataFrame) -> DataFrame:
-    """One row per structured-data item, graphs and lists flattened, with its score."""
-    raw = nodes.where("kind = 'jsonld' AND text <> ''").select("page_id", "pos", "text")
-    is_list = F.col("text").startswith("[")
-    tops = raw.select("page_id", "pos", F.posexplode(
-        F.when(is_list, F.from_json("text", "array<string>")).otherwise(F.array("text"))
-    ).alias("_i", "item"))
-    graph = F.from_json(F.get_json_object("item", "$['@graph']"), "array<string>")
-    items = tops.select("page_id", "pos", "_i", F.posexplode(F.coalesce(graph, F.array("item"))).alias("_j", "item")).where(
-        F.col("item").startswith("{")
-    )
-    get = lambda n: F.get_json_object("item", f"$['{n}']")
-    kinds = get("@type")
-    types = F.when(kinds.startswith("["), F.from_json(kinds, "array<string>")).otherwise(F.array(kinds))
-    filled = lambda *n: any_of([F.coalesce(get(x) != "", F.lit(False)) for x in n]).cast("int")
-    score = (
-        3 * F.coalesce(F.arrays_overlap(types, F.array(*[F.lit(t) for t in K.ARTICLE_TYPES])), F.lit(False)).cast("int")
-        + 4 * filled("articleBody") + 2 * filled("headline", "name") + filled("datePublished") + filled("description")
-    )
-    return items.withColumn("score", score)
+def _best_item(text: Column) -> Column:
+    """Best-scored item of one structured-data block: a struct that sorts best first, null without one.
+
+    Graphs and lists are flattened; ties go to the first item.
+    """
+    get = lambda item, n: F.get_json_object(item, f"$['{n}']")
+
+    def ranked(item: Column, i: Column, j: Column) -> Column:
+        kinds = get(item, "@type")
+        types = F.when(kinds.startswith("["), F.from_json(kinds, "array<string>")).otherwise(F.array(kinds))
+        filled = lambda *n: any_of([F.coalesce(get(item, x) != "", F.lit(False)) for x in n]).cast("int")
+        score = (
+            3 * F.coalesce(F.arrays_overlap(types, F.array(*[F.lit(t) for t in K.ARTICLE_TYPES])), F.lit(False)).cast("int")
+            + 4 * filled("articleBody") + 2 * filled("headline", "name") + filled("datePublished") + filled("description")
+        )
+        return F.struct((-score).alias("worse"), i.alias("i"), j.alias("j"), item.alias("item"))
+
+    tops = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    graph = lambda top: F.coalesce(F.from_json(get(top, "@graph"), "array<string>"), F.array(top))
+    items = F.flatten(F.transform(tops, lambda top, i: F.transform(graph(top), lambda item, j: ranked(item, i, j))))
+    return F.array_min(F.filter(items, lambda r: F.coalesce(r["item"].startswith("{"), F.lit(False))))
+
+
+def _page_item() -> Column:
+    """The best item of a page: ties go to the first block."""
+    kept = (F.col("kind") == "jsonld") & (F.col("text") != "")
+    best = _best_item(F.when(kept, F.col("text")))
+    # without the condition a null still becomes a struct of nulls, which sorts first
+    return F.min(F.when(best.isNotNull(), F.struct(best["worse"].alias("worse"), "pos", best["i"], best["j"], best["item"].alias("item"))))
 
 
 def pick_jsonld(nodes: DataFrame) -> DataFrame:
     """The best-scored item of each page; ties go to the first."""
-    return jsonld_items(nodes).groupBy("page_id").agg(
-        F.min_by(F.struct("item", "score"), F.struct(-F.col("score"), "pos", "_i", "_j")).alias("_b")
-    ).select("page_id", "_b.item", "_b.score")
+    best = nodes.where("kind = 'jsonld'").groupBy("page_id").agg(_page_item().alias("b")).where("b IS NOT NULL")
+    return best.select("page_id", "b.item", (-F.col("b.worse")).alias("score"))
 
 
 # ---------------------------------------------------------------------------
 # articles
 # ---------------------------------------------------------------------------
 
-def main_content(nodes: DataFrame) -> DataFrame:
-    """Block with the highest length + 25 * paragraphs; the body when a page has no block."""
-    blocks = nodes.where("kind = 'block'").select(
-        "page_id", "pos", "tag", "paragraphs", F.col("text").alias("lines"),
-        (F.length(clean_text("text")) + 25 * F.size("paragraphs")).alias("score"),
-    )
-    body = F.col("tag") == "body"
+def _page_block() -> Column:
+    """The block with the highest length + 25 * paragraphs; the body when a page has no block."""
+    score = F.col("length") + 25 * F.col("paragraphs")
+    body = (F.col("tag") == "body").cast("int")
     # a body competes only where nothing else does
-    best = F.min_by(
-        F.struct("paragraphs", "lines", "score"), F.struct(body.cast("int"), -F.col("score"), F.col("pos"))
+    return F.min(F.when(F.col("kind") == "block", F.struct(
+        body.alias("body"), (-score).alias("worse"), "pos", "last", "first", "stop"
+    )))
+
+
+def _page_texts() -> Column:
+    """The shown texts of a page and the intervals of its paragraphs."""
+    return F.min(F.when(F.col("kind") == "page", F.struct("texts", "spans")))
+
+
+def _block_paragraphs(block: Column, page: Column) -> Column:
+    """Texts of the paragraphs inside a block; of its lines where it has none."""
+    piece = lambda s: F.slice(page["texts"], s["first"] + 1, s["stop"] - s["first"])
+    inside = F.filter(page["spans"], lambda s: (s["pos"] > block["pos"]) & (s["pos"] <= block["last"]))
+    marked = F.transform(inside, lambda s: clean_text(F.array_join(piece(s), " ")))
+    lines = split_paragraphs(F.array_join(piece(block), "\n"))
+    return F.when(block["worse"] < 0, F.when(F.size(marked) > 0, marked).otherwise(lines))
+
+
+def main_content(nodes: DataFrame) -> DataFrame:
+    """Paragraphs of the best block of each page, and its score; one grouped pass."""
+    out = nodes.where("kind IN ('block', 'page')").groupBy("page_id").agg(_page_block().alias("b"), _page_texts().alias("t"))
+    return out.where("b.worse < 0").select(
+        "page_id", _block_paragraphs(F.col("b"), F.col("t")).alias("paragraphs"), (-F.col("b.worse")).alias("score")
     )
-    out = blocks.groupBy("page_id").agg(best.alias("b")).where(F.col("b.score") > 0)
-    paragraphs = F.when(F.size("b.paragraphs") > 0, F.col("b.paragraphs")).otherwise(split_paragraphs("b.lines"))
-    return out.select("page_id", paragraphs.alias("paragraphs"), F.col("b.score").alias("score"))
 
 
-def _candidates(nodes: DataFrame, best_jsonld: DataFrame) -> DataFrame:
-    """(page_id, field, priority, pos, value) from every source of a field."""
-    j = lambda n: F.get_json_object("item", f"$['{n}']")
+def _filled(value: Column) -> Column:
+    return F.nullif(strip(value), F.lit(""))
+
+
+def article_fields(nodes: DataFrame) -> DataFrame:
+    """title, author, date, summary, cover, content_text and paragraphs per page.
+
+    The node table is read once: every rule is a conditional aggregate of one
+    grouped pass, so a page is parsed once and its nodes are exchanged once,
+    already reduced to a row per page.  A field takes structured data first,
+    then the meta rules in order, then (titles only) the title tags.  ``page_id`` must be unique.
+    """
+    rules = {field: [tuple(key.split("=")) for key in keys] for field, keys in K.META_PRIORITY.items()}
+    # only the first tag of a rule counts, also when its content is empty
+    metas = {
+        f"_{field}_{i}": F.min(F.when((F.col("kind") == "meta") & (_attr(name) == value), F.struct("pos", _attr("content").alias("value"))))
+        for field, keys in rules.items() for i, (name, value) in enumerate(keys)
+    }
+    tag = F.min(F.when((F.col("kind") == "title") & (strip("text") != ""), F.struct("pos", strip("text").alias("value"))))
+    page = nodes.groupBy("page_id").agg(
+        F.min("url").alias("url"), _page_item().alias("_i"), _page_block().alias("_b"), _page_texts().alias("_t"), tag.alias("_tag"),
+        *[m.alias(name) for name, m in metas.items()],
+    )
+    item = F.col("_i.item")
+    j = lambda n: F.get_json_object(item, f"$['{n}']")
     structured = {
         "title": F.coalesce(F.nullif(j("headline"), F.lit("")), j("name")),
         "author": _names_of(j("author")),
@@ -113,42 +156,16 @@ def _candidates(nodes: DataFrame, best_jsonld: DataFrame) -> DataFrame:
         "summary": j("description"),
         "cover": _text_of(j("image"), "url", "@id"),
     }
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in structured.items()])
-    from_jsonld = best_jsonld.select("page_id", F.explode(pairs).alias("p")).select(
-        "page_id", "p.field", F.lit(0).alias("priority"), F.lit(0).alias("pos"), "p.value"
-    )
-    rules = [
-        (key.split("=")[0], key.split("=")[1], field, i + 1)
-        for field, keys in K.META_PRIORITY.items() for i, key in enumerate(keys)
-    ]
-    hits = F.array(*[
-        F.when(_attr(a) == v, F.struct(F.lit(f).alias("field"), F.lit(p).alias("priority"))) for a, v, f, p in rules
-    ])
-    metas = nodes.where("kind = 'meta'").select(
-        "page_id", "pos", _attr("content").alias("value"), F.explode(F.array_compact(hits)).alias("h")
-    )
-    # only the first tag of a rule counts, also when its content is empty
-    metas = metas.groupBy("page_id", "h.field", "h.priority").agg(F.min(F.struct("pos", "value")).alias("m")).select(
-        "page_id", "field", "priority", "m.pos", "m.value"
-    )
-    titles = nodes.where("kind = 'title'").select(
-        "page_id", F.lit("title").alias("field"), F.lit(BIG).alias("priority"), "pos", F.col("text").alias("value")
+    chosen = {
+        field: F.coalesce(_filled(value), *[_filled(F.col(f"_{field}_{i}.value")) for i in range(len(rules.get(field, ())))])
+        for field, value in structured.items()
+    }
+    chosen["title"] = F.coalesce(chosen["title"], F.col("_tag.value"))
+    own = split_paragraphs(F.nullif(j("articleBody"), F.lit("")))
+    paragraphs = F.coalesce(
+        F.when(F.size(own) > 0, own), _block_paragraphs(F.col("_b"), F.col("_t")), F.array().cast("array<string>")
     )
-    return from_jsonld.unionByName(metas).unionByName(titles).withColumn("value", strip("value")).where("value <> ''")
-
-
-def article_fields(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """title, author, date, summary, cover, content_text and paragraphs per page."""
-    best = pick_jsonld(nodes)
-    chosen = _candidates(nodes, best).groupBy("page_id", "field").agg(
-        F.min_by("value", F.struct("priority", "pos")).alias("value")
-    ).groupBy("page_id").pivot("field", ["title", "author", "date", "summary", "cover"]).agg(F.first("value"))
-    body = F.get_json_object("item", "$['articleBody']")
-    structured = best.where(F.coalesce(body != "", F.lit(False))).select("page_id", split_paragraphs(body).alias("_p1"))
-    fallback = main_content(nodes).select("page_id", F.col("paragraphs").alias("_p2"))
-    j = pages.select("page_id", "url").join(chosen, "page_id", "left").join(structured, "page_id", "left").join(fallback, "page_id", "left")
-    paragraphs = F.coalesce(F.when(F.size("_p1") > 0, F.col("_p1")), F.col("_p2"), F.array().cast("array<string>"))
-    out = j.withColumn("paragraphs", paragraphs)
+    out = page.select("page_id", "url", *[v.alias(f) for f, v in chosen.items()], paragraphs.alias("paragraphs"))
     return out.select(
         "page_id", "title", "author", "date",
         F.coalesce("summary", F.try_element_at("paragraphs", F.lit(1))).alias("summary"),

@@ -194,7 +194,7 @@ HTML = """<html><head><title> A &amp; B </title><meta property="og:title" conten
 def test_article(spark):
     pages = spark.createDataFrame([(1, "https://x.org/p/", HTML)], "page_id long, url string, html string")
     nodes = extract_nodes(pages)
-    row = html.article_fields(pages, nodes).first()
+    row = html.article_fields(nodes).first()
     assert (row.title, row.author, row.cover) == ("Best", "X, Y", "https://x.org/c.png")
     assert row.paragraphs == ["First one", "Second"] and row.summary == "First one"
     links = html.extract_links(nodes).orderBy(F.desc("with_image"), "pos").collect()
