@@ -60,6 +60,18 @@ def _(t):
     return out.select("host", F.unix_micros("banned_at").alias("banned_at"))
 
 
+@query("probe_bans", """WITH RECURSIVE h AS (SELECT epoch_us(ts) AS s, '10.0.0.' || (user_id % 40) AS host FROM events WHERE event_type IN ('error', 'view') AND user_id % 25 <> 0),
+ f AS (SELECT host, s, lag(s, 3) OVER (PARTITION BY host ORDER BY s) AS since FROM h),
+ g AS (SELECT host, s AS hit, max(since) AS since FROM f WHERE since >= s - 36000000000 GROUP BY 1, 2),
+ b AS (SELECT host, min(hit) AS hit, 1::BIGINT AS ban_no FROM g GROUP BY 1
+   UNION ALL SELECT b.host, min(g.hit), b.ban_no + 1 FROM b JOIN g ON g.host = b.host AND g.since >= b.hit + 3600000000 GROUP BY b.host, b.ban_no)
+ SELECT host, ban_no, hit AS banned_at, hit + 3600000000 AS banned_until FROM b""")
+def _(t):
+    """Bans of an hour with a longer look-back than the default, so that a host has many."""
+    out = E.probe_bans(E.probe_hits(requests(t)), 4, 36000, 3600)
+    return out.select("host", "ban_no", F.unix_micros("banned_at").alias("banned_at"), F.unix_micros("banned_until").alias("banned_until"))
+
+
 @query("stage_latency", """SELECT event_id, task_id, lag(stage) OVER w AS from_stage, stage, (epoch_us(ts) - epoch_us(lag(ts) OVER w))/1000 AS latency_ms FROM progress WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)""", ("progress",))
 def _(t):
     profile = t.profile("tasks", t.progress, ["task_id"])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom import constants as K
-from pageloom.skew import KeyProfile, ordered, previous
+from pageloom.operators.chains import chain_ranks
+from pageloom.skew import KeyProfile, checkpoint, ordered, previous, running_max
 
 FINAL_STAGES = ("complete", "failed")
 
@@ -88,6 +89,50 @@ def probe_ban(hits: DataFrame, max_retry: int = 8, find_seconds: int = 600, ban_
     )
 
 
+def probe_bans(
+    hits: DataFrame, max_retry: int = 8, find_seconds: int = 600, ban_seconds: int = 86400, profile: KeyProfile | None = None,
+) -> DataFrame:
+    """Every ban of a host, numbered from 1, as a stream of its hits would give them.
+
+    While a ban lasts hits are ignored, and the count starts anew at its end.  An
+    instant is a trigger when the ``max_retry`` hits up to it lie within
+    ``find_seconds``; after a ban that ends at t, the next one is the first
+    trigger whose hits all came at t or later.  So every trigger points
+    to one later trigger (one ordered scan), and the bans are the chain of
+    pointers from a host's first trigger.
+
+    Hits of one instant are counted first, and a host is cut into time
+    buckets, so a busy host is spread; repeated hits count each, null times and
+    hosts give nothing.  Of ``hits`` only host and ts are read.
+    """
+    if ban_seconds <= 0 or max_retry < 1:
+        raise ValueError("a ban lasts, and needs a hit")
+    counted = hits.where("host IS NOT NULL AND ts IS NOT NULL").groupBy(
+        "host", F.unix_micros(F.col("ts").cast("timestamp")).alias("_s")
+    ).agg(F.least(F.count(F.lit(1)), F.lit(max_retry)).alias("_m"))
+    span, ban = find_seconds * 1_000_000, ban_seconds * 1_000_000
+    own = F.floor(F.col("_s") / max(span, 1))
+    copies = counted.withColumn("_own", own).withColumn("_bucket", F.explode(F.array(own, own + 1))).withColumn(
+        "_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))
+    )
+    w = Window.partitionBy("host", "_bucket").orderBy("_s", "_c")
+    since = copies.withColumn("_from", F.lag("_s", max_retry - 1).over(w)).where("_bucket = _own AND _c = _m")
+    triggers = checkpoint(since.where(F.col("_from") >= F.col("_s") - span).select("host", F.col("_s").alias("at"), F.col("_from").alias("t")))
+    ends = triggers.select("host", "at", (F.col("at") + ban).alias("t"), F.lit(1).alias("kind"))
+    both = triggers.withColumn("kind", F.lit(0)).select("host", "at", "t", "kind").unionByName(ends)
+    # from the latest on: the earliest trigger among those not older than the end of this ban
+    later = running_max(F.when(F.col("kind") == 0, -F.col("at")))
+    seen = ordered(both, ["host"], [-F.col("t"), "kind", "at"], {"_later": later}, profile)
+    links = seen.where("kind = 1 AND _later IS NOT NULL").select(
+        F.struct("host", "at").alias("node"), F.struct("host", (-F.col("_later")).alias("at")).alias("next"), F.lit(1).alias("steps")
+    )
+    starts = triggers.groupBy("host").agg(F.min("at").alias("at")).select(F.struct("host", "at").alias("node"))
+    return chain_ranks(links, starts).select(
+        "node.host", (F.col("rank") + 1).alias("ban_no"), F.timestamp_micros("node.at").alias("banned_at"),
+        F.timestamp_micros(F.col("node.at") + ban).alias("banned_until"),
+    )
+
+
 def stage_latency(events: DataFrame, profile: KeyProfile | None = None) -> DataFrame:
     """Milliseconds since the previous event of the same task."""
     seen = ordered(

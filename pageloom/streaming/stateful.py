@@ -147,29 +147,29 @@ class Admission(StatefulProcessor):
 
 
 class ProbeBan(StatefulProcessor):
-    """Bans a host at its ``retries``-th bad request within the look-back."""
+    """Bans a host at its ``retries``-th bad request within the look-back; times are microseconds."""
 
     schema = "host string, banned_at timestamp, banned_until timestamp"
 
     def __init__(self, retries: int = 8, find_ms: int = 600_000, ban_ms: int = 86_400_000):
-        self.retries, self.find_ms, self.ban_ms = retries, find_ms, ban_ms
+        self.retries, self.find, self.ban = retries, find_ms * 1000, ban_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at_ms long")
-        self.until = handle.getValueState("until", "at_ms long")
+        self.recent = handle.getListState("recent", "at long")
+        self.until = handle.getValueState("until", "at long")
 
     def handleInputRows(self, key, rows, timerValues):
         recent = [r[0] for r in self.recent.get()]
         until = self.until.get()[0] if self.until.exists() else None
         out = []
         for ts in _in_order(rows, "ts")["ts"]:
-            at = int(ts.timestamp() * 1000)
+            at = round(ts.timestamp() * 1_000_000)
             if until is not None and at < until:
                 continue
-            recent = [x for x in recent if x >= at - self.find_ms][-(self.retries - 1):] + [at]
+            recent = [x for x in recent if x >= at - self.find][-(self.retries - 1):] + [at]
             if len(recent) >= self.retries:
-                until, recent = at + self.ban_ms, []
-                out.append((key[0], ts, pd.Timestamp(until, unit="ms")))
+                until, recent = at + self.ban, []
+                out.append((key[0], ts, pd.Timestamp(until, unit="us")))
         if recent:
             self.recent.put([(x,) for x in recent])
         else:

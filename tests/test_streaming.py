@@ -64,6 +64,12 @@ def test_probe_ban(spark, tables, tmp_path):
     out = run_stream(spark, lambda s: S.probe_ban(s, 3, 36_000_000), hits, tmp_path, "ban_out")
     first = {r.host: r.at for r in out.groupBy("host").agg(F.min("banned_at").alias("at")).collect()}
     assert want and first == want
+    # shorter bans: every ban of every host
+    want = sorted((r.host, r.banned_at, r.banned_until) for r in E.probe_bans(hits, 3, 36000, 7200).collect())
+    (tmp_path / "again").mkdir()
+    out = run_stream(spark, lambda s: S.probe_ban(s, 3, 36_000_000, 7_200_000), hits, tmp_path / "again", "bans_out")
+    assert len(want) > len(first)
+    assert sorted((r.host, r.banned_at, r.banned_until) for r in out.collect()) == want
 
 
 def test_admission(spark, tmp_path):
