@@ -166,3 +166,10 @@ COVER_ATTRS = (
     "data-src", "data-original", "data-lazy", "data-srcset", "data-lazy-src",
     "data-original-src", "srcset", "src",
 )
+
+# fixed values: URL schemes whose references are resolved, and those of them with ;parameters
+RELATIVE_SCHEMES = (
+    "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps",
+    "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
+)
+PARAMETER_SCHEMES = ("", "ftp", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu", "mms", "sftp")

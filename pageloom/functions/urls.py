@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pageloom.constants import CHALLENGE_MARKERS, IMAGE_EXTENSIONS, SITE_HOSTS
-from pageloom.functions.base import ColumnLike, any_of, col, literal_map, strip
+from pageloom.constants import CHALLENGE_MARKERS, IMAGE_EXTENSIONS, PARAMETER_SCHEMES, RELATIVE_SCHEMES, SITE_HOSTS
+from pageloom.functions.base import ColumnLike, any_of, col, let, literal_map, strip
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 
@@ -80,25 +78,93 @@ def normalize_base_url(url: ColumnLike) -> Column:
     ).otherwise(F.regexp_replace(u, r"/+\z", ""))
 
 
-def _join_series(base: pd.Series, url: pd.Series) -> pd.Series:
-    from urllib.parse import urljoin
+def _parts(url: Column) -> Column:
+    """Scheme, authority, path, query and fragment of a reference (RFC 3986, appendix B)."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x{00}-\x{20}]+", ""), r"[\t\r\n]", "")
+    rest = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
+    tail = F.regexp_replace(rest, r"^//[^/?#]*", "")
+    return F.struct(
+        url_scheme(bare).alias("scheme"), F.regexp_extract(rest, r"^//([^/?#]*)", 1).alias("host"),
+        F.regexp_extract(tail, r"^([^?#]*)", 1).alias("path"), F.regexp_extract(tail, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+        F.regexp_extract(tail, r"(?s)^[^#]*#(.*)\z", 1).alias("fragment"),
+    )
+
+
+def _with_parameters(path: Column, scheme: Column) -> Column:
+    """Struct (path, params): what follows a semicolon in the last segment stands apart."""
+    params = F.when(scheme.isin(*PARAMETER_SCHEMES), F.regexp_extract(path, r"(;[^/]*)\z", 1)).otherwise("")
+    return let(params, lambda p: F.struct(
+        F.substr(path, F.lit(1), F.length(path) - F.length(p)).alias("path"), F.when(p != ";", p).otherwise("").alias("params")
+    ))
+
+
+def _filled(segments: Column) -> Column:
+    """Segments without empty ones between the first and the last."""
+    return let(segments, lambda all_: F.filter(all_, lambda s, i: (s != "") | (i == 0) | (i == F.size(all_) - 1)))
 
-    def one(b, u):
-        if u is None:
-            return None
-        try:
-            return urljoin(b or "", u)
-        except ValueError:
-            return u
 
-    return pd.Series([one(b, u) for b, u in zip(base, url)], dtype="object")
+def _without_dots(segments: Column) -> Column:
+    """Path of the segments, with . and .. carried out."""
+    dots = (".", "..")
+    back = lambda kept, s: (
+        F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+    )
+    walked = lambda part: F.concat(
+        F.aggregate(part, F.array().cast("array<string>"), back),
+        F.when(F.element_at(part, -1).isin(*dots), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
+    )
+    path = let(segments, lambda part: F.array_join(F.when(F.exists(part, lambda s: s.isin(*dots)), walked(part)).otherwise(part), "/"))
+    return F.when(path == "", "/").otherwise(path)
+
+
+def _recomposed(scheme: Column, host: Column, path: Column, query: Column, fragment: Column) -> Column:
+    slash = path.startswith("/")
+    body = (
+        F.when(host != "", F.concat(F.lit("//"), host, F.when((path != "") & ~slash, "/").otherwise(""), path))
+        .when(path.startswith("//") | ((scheme != "") & ((path == "") | slash)), F.concat(F.lit("//"), path))
+        .otherwise(path)
+    )
+    some = lambda before, x, after: F.when(x != "", F.concat(F.lit(before), x, F.lit(after))).otherwise("")
+    return F.concat(some("", scheme, ":"), body, some("?", query, ""), some("#", fragment, ""))
+
+
+def _joined(base: Column, url: Column) -> Column:
+    """The reference ``url`` seen from ``base``; schemes that know no relative references leave it as it is."""
+    def resolve(b: Column, u: Column) -> Column:
+        scheme = F.when(u["scheme"] != "", u["scheme"]).otherwise(b["scheme"])
+        own, outer = _with_parameters(u["path"], scheme), _with_parameters(b["path"], b["scheme"])
+        return let(F.struct(scheme.alias("scheme"), own.alias("own"), outer.alias("outer")), lambda x: merged(b, u, x))
+
+    def merged(b: Column, u: Column, x: Column) -> Column:
+        own, outer = x["own"], x["outer"]
+        whole = lambda p: F.concat(p["path"], p["params"])
+        segments = F.split(own["path"], "/")
+        # the base gives its folders: all segments but the last, unless that is empty
+        folders = F.split(F.regexp_replace(outer["path"], "[^/]+\\z", ""), "/")
+        folders = F.when(outer["path"].rlike("^[^/]+\\z"), F.array().cast("array<string>")).when(
+            outer["path"].rlike("[^/]\\z"), F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0)))
+        ).otherwise(folders)
+        around = F.when(own["path"].startswith("/"), segments).otherwise(_filled(F.concat(folders, segments)))
+        empty = whole(own) == ""
+        path = F.when(u["host"] != "", whole(own)).when(empty, whole(outer)).otherwise(F.concat(_without_dots(around), own["params"]))
+        query = F.when((u["host"] == "") & empty & (u["query"] == ""), b["query"]).otherwise(u["query"])
+        host = F.when(u["host"] != "", u["host"]).otherwise(b["host"])
+        broken = any_of([p["host"].contains("[") != p["host"].contains("]") for p in (b, u)])
+        foreign = (x["scheme"] != b["scheme"]) | ~x["scheme"].isin(*RELATIVE_SCHEMES)
+        return F.when(broken | foreign, url).otherwise(_recomposed(x["scheme"], host, path, query, u["fragment"]))
+
+    parts = let(_parts(base), lambda b: let(_parts(url), lambda u: resolve(b, u)))
+    return F.when(F.coalesce(base, F.lit("")) == "", url).when(url == "", base).otherwise(parts)
 
 
 def normalize_url(base: ColumnLike, url: ColumnLike) -> Column:
-    """Absolute URL; protocol-relative ones get https, the rest RFC 3986 joining."""
+    """Absolute URL; protocol-relative ones get https, the rest RFC 3986 joining.
+
+    All in columns.  Null stays null, without a base the URL stays as it is, and so
+    does one whose host has half a pair of brackets; addresses in brackets are not looked into.
+    """
     u = col(url)
-    joined = F.pandas_udf(_join_series, T.StringType())(col(base), u)
-    return F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(joined)
+    return F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(_joined(col(base), u))
 
 
 def slugify(text: ColumnLike) -> Column:
