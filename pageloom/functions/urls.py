@@ -157,14 +157,34 @@ def _joined(base: Column, url: Column) -> Column:
     return F.when(F.coalesce(base, F.lit("")) == "", url).when(url == "", base).otherwise(parts)
 
 
+# a path without parameters, then a query and a fragment that are not empty; no blanks or controls
+_PLAIN_TAIL = r"[^?#;\x{00}-\x{20}]*(?:\?[^#;\x{00}-\x{20}]+)?(?:#[^;\x{00}-\x{20}]+)?\z"
+_ORIGIN = r"https?://[^/?#;\[\]\x{00}-\x{20}]+"
+
+_NAME = r"[^/?#;:.\x{00}-\x{20}][^/?#;:\x{00}-\x{20}]*"
+_BELOW = rf"^{_NAME}(?:/{_NAME})*/?(?:\?[^#;\x{{00}}-\x{{20}}]+)?(?:#[^;\x{{00}}-\x{{20}}]+)?\z"
+_FOLDER = rf"^({_ORIGIN}/(?:{_NAME}/)*)(?:{_NAME})?(?:[?#]|\z)"
+
+
 def normalize_url(base: ColumnLike, url: ColumnLike) -> Column:
     """Absolute URL; protocol-relative ones get https, the rest RFC 3986 joining.
 
-    All in columns.  Null stays null, without a base the URL stays as it is, and so
-    does one whose host has half a pair of brackets; addresses in brackets are not looked into.
+    All in columns.  Whole URLs and plain paths, which are most, take a few
+    patterns; only others are taken apart and folded.  Null stays null, without a
+    base the URL stays as it is, and so does one whose host has half a pair of
+    brackets; addresses in brackets are not looked into.
     """
-    u = col(url)
-    return F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(_joined(col(base), u))
+    u, b = col(url), F.coalesce(col(base), F.lit(""))
+    origin = F.regexp_extract(b, f"^({_ORIGIN})", 1)
+    folder = F.regexp_extract(b, _FOLDER, 1)
+    rooted = u.startswith("/") & ~u.contains("/.") & u.rlike(f"^/{_PLAIN_TAIL}") & (origin != "")
+    return (
+        F.when(u.startswith("//"), F.concat(F.lit("https:"), u))
+        .when(u.rlike(f"^{_ORIGIN}(?:\\z|(?=[/?#]){_PLAIN_TAIL})"), u)
+        .when(rooted, F.concat(origin, u))
+        .when(u.rlike(_BELOW) & (folder != ""), F.concat(folder, u))
+        .otherwise(_joined(b, u))
+    )
 
 
 def slugify(text: ColumnLike) -> Column:

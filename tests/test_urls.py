@@ -19,7 +19,7 @@ REFERENCES = [
     "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h",
     "g;x=1/./y", "g;x=1/../y", "g?y/./x", "g#s/../x", "http:g", "http://other/../x", "HTTPS://x.org/y", "mailto:a@b", "data:image/png;base64,AA//..",
     "javascript:void(0)", "a//b///c", "//h//x", "/", "//", "///x", "g;", ";", "/;a;b", "?", "#", "a?#", "  /lead", "a\nb", "http://[bad/x", "1:x", "ftp:x", None,
-    "é/ü?ö#ß", "a/;/..;x", "...", "a/" * 200 + "../" * 150 + "end",
+    "é/ü?ö#ß", "a/;/..;x", "...", "/a/b?c=d#e#f", "/a/.b", "/a?b/../c", "https://x.org?q", "https://x.org#", "http://h/a/../b", "http://h/a;", "/a;b/c", "http://h", "/a?#", "a/" * 200 + "../" * 150 + "end",
 ]
 
 
